@@ -5,11 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from umbra.llm import encoding, leakage
+from umbra.llm import encoding, leakage, mixing, pairs, splitter
 from umbra.sources.tables import table
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs.defects(table(spark, folder, "reddit"))
+
+
+def _pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return splitter.split_chunks(table(spark, folder, "chunk"), table(spark, folder, "chunk_profile"), table(spark, folder, "tab"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _pieces(spark, folder).where("piece_no = 0").select("chunk_id", "kind")
+
+
+def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return _pieces(spark, folder)
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_item")).select("doc_id", "item_id")
 
@@ -18,6 +35,14 @@ def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_item"))
 
 
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.shares(mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_target")), table(spark, folder, "mix_target"))
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_target"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.repair_documents(table(spark, folder, "documents")).select("doc_id")
 
@@ -27,10 +52,28 @@ def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p4_pieces": p4_pieces,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
+    "p8_shares": p8_shares,
+    "p8_mix": p8_mix,
     "p9_found": p9_found,
     "p9_restored": p9_restored,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p4_found": """
+        WITH once AS (
+            SELECT c.chunk_id, min(struct_pack(t := c.text, m := p.max_length)) AS c
+            FROM chunk c JOIN chunk_profile p USING (profile)
+            WHERE length(c.text) > p.max_length AND c.chunk_id IS NOT NULL
+            GROUP BY c.chunk_id
+        )
+        SELECT chunk_id,
+               CASE WHEN list_max(list_transform(regexp_split_to_array(c.t, '[ \\t\\r\\n]+'), x -> length(x))) > c.m
+                    THEN 'unbroken' ELSE 'splittable' END AS kind
+        FROM once
+    """,
+}
