@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbra.llm import encoding, leakage, mixing, pairs, splitter
+from umbra.llm import encoding, leakage, mixing, overlap, pairs, splitter
 from umbra.sources.tables import table
 
 
@@ -27,6 +27,15 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder)
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs_of = overlap.record_pairs(table(spark, folder, "dataset_record"))
+    return pairs_of.select(F.least("train_uid", "eval_uid").alias("uid_a"), F.greatest("train_uid", "eval_uid").alias("uid_b"))
+
+
+def p6_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.overlap_counts(table(spark, folder, "dataset_record"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_item")).select("doc_id", "item_id")
 
@@ -55,6 +64,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p6_found": p6_found,
+    "p6_counts": p6_counts,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
     "p8_shares": p8_shares,
