@@ -74,6 +74,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     names = targets.select(F.lower(F.trim("source")).alias("source")).where("source is not null").distinct()
     keyed = documents.select(F.lower(F.trim("source")).alias("source"), F.xxhash64(F.col("doc_id"), F.lit(seed)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     counted = keyed.where("text is not null and source is not null and doc_id is not null").join(names, "source", "left_semi").mapInPandas(_counter(tokenizer), "source string, key long, doc_id long, n_tokens long")
+    counted = cut(counted)  # the range partitioning samples its input; the tokens must not be counted twice
     ranged = cut(counted.repartitionByRange(parallelism(spark), "source", "key", "doc_id").sortWithinPartitions("source", "key", "doc_id"))
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
