@@ -7,10 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbra.llm import encoding, leakage, mixing, overlap, pairs, splitter
+from umbra.llm import consensus, encoding, leakage, mixing, overlap, pairs, splitter
 from umbra.sources.tables import table
 
 
+def _consensus(spark: SparkSession, folder: str) -> consensus.Consensus:
+    return consensus.Consensus(table(spark, folder, "text_annotation"), table(spark, folder, "dataset_record"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _consensus(spark, folder).cases().select("uid", "start", "end", "label")
+
+
+def p1_agreement(spark: SparkSession, folder: str) -> DataFrame:
+    return _consensus(spark, folder).agreement()
+
+
+def p1_annotators(spark: SparkSession, folder: str) -> DataFrame:
+    return _consensus(spark, folder).annotators()
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.defects(table(spark, folder, "reddit"))
 
@@ -61,6 +77,9 @@ def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_agreement": p1_agreement,
+    "p1_annotators": p1_annotators,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
