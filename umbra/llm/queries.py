@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbra.llm import consensus, encoding, leakage, mixing, overlap, pairs, splitter
+from umbra.llm import consensus, encoding, leakage, mixing, overlap, pairs, sanitise, splitter
 from umbra.sources.tables import table
 
 
@@ -27,6 +27,14 @@ def p1_annotators(spark: SparkSession, folder: str) -> DataFrame:
     return _consensus(spark, folder).annotators()
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sanitise.occurrences(table(spark, folder, "dataset_record"))
+
+
+def p2_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return sanitise.redacted(table(spark, folder, "dataset_record"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.defects(table(spark, folder, "reddit"))
 
@@ -80,6 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_agreement": p1_agreement,
     "p1_annotators": p1_annotators,
+    "p2_found": p2_found,
+    "p2_redacted": p2_redacted,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,

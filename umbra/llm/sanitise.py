@@ -76,10 +76,10 @@ PHONE = re.compile(
     r"|[69]\d{2}(?:([\s.\-]?)\d{3}\3\d{3}|[\s]\d{2}[\s]\d{2}[\s]\d{2})"
     r")" + _EXTENSION + r"(?![\w@/]|[\-.]\d)"
 )
-_TOKEN_ID = r"(?=[A-Za-z0-9 .\-/]*\d[A-Za-z0-9 .\-/]*\d)[A-Za-z0-9]{1,16}(?:[ .\-/]{1}(?=[A-Za-z]{0,3}\d|[A-Za-z]\b)[A-Za-z0-9]{1,12}){0,9}"
+_TOKEN_ID = r"(?=[A-Za-z0-9 .\-/]*\d[A-Za-z0-9 .\-/]*\d)[A-Za-z0-9]{1,16}(?:[ .\-/]{1}(?=[A-Za-z]{0,3}\d|[A-HJ-Za-z]\b)[A-Za-z0-9]{1,12}){0,9}"
 ID_AFTER = re.compile(rf"(?<![\w\-])(?:(?i:{ID_WORDS}))(?:\s+(?:is|was|lautet|est|es|número|n[°º.]+|no\.?|[Nn]r\.?|[Nn]um\.?))?(?:\s?[:=#]\s?|\s+)(?P<v>(?-i:{_TOKEN_ID}))")
 ID_BEFORE = re.compile(rf"(?<![\w\-])(?P<v>(?:{_TOKEN_ID}))(?=\s+(?:as|als|comme|como)\s+(?:the|die|der|das|den|le|la|el|his|her|their)\s+(?i:{ID_WORDS})\b)")
-ID_SHAPED = re.compile(r"(?<![\w@#/.\-+])(?=[A-Za-z0-9 .\-/]{5,24})(?:(?:[A-Z]{1,5}[\- ]?|[a-z]{1,5}\-?)?\d[A-Za-z0-9]*(?:[ .\-/][A-Za-z0-9]*\d[A-Za-z0-9]*|[ .\-/][A-Za-z]\b){0,9})(?![\w@/]|[\-.]\d)")
+ID_SHAPED = re.compile(r"(?<![\w@#/.\-+])(?=[A-Za-z0-9 .\-/]{5,24})(?:(?:[A-Z]{1,5}[\- ]?|[a-z]{1,5}\-?)?\d[A-Za-z0-9]*(?:[ .\-/][A-Za-z0-9]*\d[A-Za-z0-9]*|[ .\-/][A-HJ-Z]\b){0,9})(?![\w@/]|[\-.]\d)")
 _CODE_BEFORE = re.compile(rf"(?i:\b(?:{CODE_WORDS}))\W{{0,3}}(?:(?:no|number|nummer|num|n[°º])\.?\W{{0,2}})?$")
 _ID_BEFORE_SHAPE = re.compile(rf"(?:\b(?i:{ID_WORDS}))\W{{0,3}}$")
 _ID_AFTER_SHAPE = re.compile(rf"^\s+(?:as|als|comme|como)\s+\w+\s+(?i:{ID_WORDS})\b")
