@@ -91,30 +91,30 @@ def start_tilting() -> np.ndarray:
     return np.where(np.eye(K, dtype=bool), np.log(FIRST_TRUST), np.log(wrong)) - np.log(1 / K)
 
 
-def posteriors(tilting: np.ndarray, labels: np.ndarray, held: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Posteriors of the true labels and log-probabilities of the given ones.
+def posteriors(strength: np.ndarray, labels: np.ndarray, starts: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Posteriors of the true labels of each mention and probabilities [mark, true, given].
 
-    ``tilting`` is [mention, mark, true, given], ``labels`` [mention, mark], ``held`` tells
-    which marks exist.  The mention tilting starts at nothing and takes MENTION_STEPS damped
-    Newton steps, each followed by new posteriors.
+    ``strength`` is the exponential of each mark's annotator tilting, ``labels`` the given
+    labels and ``starts`` the first mark of each mention.  The mention tilting starts at
+    nothing and takes MENTION_STEPS damped Newton steps, each followed by new posteriors.
     """
-    given = np.eye(K)[labels] * held[..., None]
-    log_prob = _log_softmax(tilting)
-    mention = np.zeros((len(labels), K, K))
-
-    def update(log_prob: np.ndarray) -> np.ndarray:
-        said = np.take_along_axis(log_prob, labels[:, :, None, None], axis=3)[..., 0] * held[..., None]
-        return np.exp(_log_softmax(said.sum(axis=1) + np.log(prior)))
-
-    q = update(log_prob)
-    for _ in range(MENTION_STEPS):
-        prob = np.exp(log_prob) * held[:, :, None, None]
-        slope = q[:, :, None] * (given.sum(axis=1)[:, None, :] - prob.sum(axis=1)) - MENTION_PENALTY * mention
-        curve = q[:, :, None] * (prob * (1 - prob)).sum(axis=1) + MENTION_PENALTY
-        mention += slope / curve
-        log_prob = _log_softmax(tilting + mention[:, None])
-        q = update(log_prob)
-    return q, log_prob
+    marks = np.arange(len(labels))
+    sizes = np.diff(np.append(starts, len(labels)))
+    mention_of = np.repeat(np.arange(len(starts)), sizes)
+    given = np.bincount(mention_of * K + labels, minlength=len(starts) * K).reshape(-1, 1, K).astype(np.float32)
+    tilt = np.zeros((len(starts), K, K), np.float32)
+    prob = strength / strength.sum(axis=2, keepdims=True)
+    for step in range(MENTION_STEPS + 1):
+        said = np.log(np.maximum(prob[marks, :, labels], 1e-30))
+        q = np.exp(_log_softmax(np.add.reduceat(said, starts, axis=0) + np.log(prior))).astype(np.float32)
+        if step == MENTION_STEPS:
+            return q, prob
+        expected = np.add.reduceat(prob, starts, axis=0)
+        spread = expected - np.add.reduceat(prob * prob, starts, axis=0)
+        belief = q[:, :, None]
+        tilt += (belief * (given - expected) - MENTION_PENALTY * tilt) / (belief * spread + MENTION_PENALTY)
+        prob = strength * np.exp(tilt)[mention_of]
+        prob /= prob.sum(axis=2, keepdims=True)
 
 
 def solve_annotator(counts: np.ndarray, explained: np.ndarray, tilting: np.ndarray) -> np.ndarray:
@@ -131,20 +131,9 @@ def solve_annotator(counts: np.ndarray, explained: np.ndarray, tilting: np.ndarr
     return tilting
 
 
-def _arrays(batch: pd.DataFrame, place: dict[str, int] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Labels, annotators (their places) and which marks exist, padded to the most marks."""
-    sizes = [len(m) for m in batch["marks"]]
-    width = max(sizes, default=0)
-    labels, who, held = np.zeros((len(sizes), width), int), np.zeros((len(sizes), width), int), np.zeros((len(sizes), width), bool)
-    for row, marks in enumerate(batch["marks"]):
-        for at, mark in enumerate(marks):
-            labels[row, at], held[row, at] = mark["label"], True
-            who[row, at] = place[mark["annotator"]] if place is not None else at
-    return labels, who, held
-
-
-_STATS = "annotator string, counts array<double>, explained array<double>, n double"
+_STATS = "annotator string, counts array<double>, explained array<double>"
 _POSTERIOR = "pattern long, label int, chance double"
+_PACKED = "pattern long, weight double, who binary, labels binary"
 _BATCH = 4_000
 
 
@@ -153,6 +142,16 @@ def _parts(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield batch.iloc[at : at + _BATCH]
 
 
+def _sum_by(keys: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the rows of ``values`` by key."""
+    out = np.zeros((size, *values.shape[1:]))
+    if len(keys):
+        order = np.argsort(keys, kind="stable")
+        found, first = np.unique(keys[order], return_index=True)
+        out[found] = np.add.reduceat(values[order], first, axis=0)
+    return out
+
+
 class Fit:
     """Tilting of every annotator, as a dictionary sent to the workers or as a table joined to the marks."""
 
@@ -166,57 +165,78 @@ class Fit:
         self.tilting = np.repeat(start_tilting()[None], len(few), axis=0) if self.sent else None
         self.table = None if self.sent else names.withColumn("tilting", F.array(*[F.lit(float(x)) for x in start_tilting().ravel()]))
         self.prior = np.full(K, 1 / K)
+        if self.sent:
+            self.packed = cut(self._pack())
+
+    def _pack(self) -> DataFrame:
+        """The patterns with annotators and labels as arrays of numbers."""
+        sent = self.spark.sparkContext.broadcast(self.names)
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            place = {name: at for at, name in enumerate(sent.value)}
+            for batch in batches:
+                who = [np.array([place[n] for n in names], np.int32).tobytes() for names in batch["names"]]
+                labels = [np.array(x, np.int8).tobytes() for x in batch["given"]]
+                yield pd.DataFrame({"pattern": batch["pattern"], "weight": batch["weight"], "who": who, "labels": labels})
+
+        given = self.patterns.select("pattern", "weight", F.col("marks.annotator").alias("names"), F.col("marks.label").alias("given"))
+        return given.mapInPandas(scan, _PACKED)
 
     def _input(self) -> DataFrame:
         if self.sent:
-            return self.patterns
+            return self.packed
         marks = self.patterns.select("pattern", "weight", F.posexplode("marks").alias("at", "mark"))
         met = marks.withColumn("annotator", F.col("mark.annotator")).join(self.table, "annotator")
-        return met.groupBy("pattern", "weight").agg(F.array_sort(F.collect_list(F.struct("at", "mark", "tilting"))).alias("m")).select("pattern", "weight", F.col("m.mark").alias("marks"), F.col("m.tilting").alias("tilting"))
+        met = met.groupBy("pattern", "weight").agg(F.array_sort(F.collect_list(F.struct("at", "mark", "tilting"))).alias("m"))
+        return met.select("pattern", "weight", F.col("m.mark.annotator").alias("names"), F.col("m.mark.label").alias("labels"), F.flatten("m.tilting").alias("tilting"))
 
     def _scan(self, use):
-        sent = self.spark.sparkContext.broadcast((self.names, self.tilting)) if self.sent else None
-        prior = self.prior
+        """Calls ``use`` with each part: rows, annotators' names, their place in them and strength by mark, labels, starts."""
+        sent = self.spark.sparkContext.broadcast((self.names, np.exp(self.tilting).astype(np.float32))) if self.sent else None
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            names, tilting = sent.value if sent else (None, None)
-            place = {name: at for at, name in enumerate(names)} if names is not None else None
-            yield from use(batches, place, tilting, prior)
+            def parts():
+                names, strength = sent.value if sent else (None, None)
+                for batch in batches:
+                    for part in _parts(batch):
+                        if sent:
+                            sizes = np.array([len(x) for x in part["labels"]])
+                            who = np.frombuffer(b"".join(part["who"]), np.int32)
+                            labels = np.frombuffer(b"".join(part["labels"]), np.int8).astype(np.int64)
+                            own, known = strength[who], names
+                        else:
+                            sizes = np.array([len(x) for x in part["labels"]])
+                            known, who = np.unique(np.concatenate([np.asarray(x, dtype=str) for x in part["names"]]), return_inverse=True)
+                            labels = np.concatenate([np.asarray(x, dtype=np.int64) for x in part["labels"]])
+                            own = np.exp(np.concatenate([np.asarray(x, dtype=np.float32) for x in part["tilting"]])).reshape(-1, K, K)
+                        yield part, known, who, own, labels, np.append(0, np.cumsum(sizes)[:-1])
+
+            yield from use(parts())
 
         return scan
 
     def round(self) -> None:
         """One pass over the patterns and one step of every annotator."""
-
-        def use(batches, place, tilting, prior):
-            sums: dict[str, list] = {}
-            for batch in batches:
-                for part in _parts(batch):
-                    labels, who, held = _arrays(part, place)
-                    if not labels.size:
-                        continue
-                    own = _tilting_of(part, who, held, tilting)
-                    q, log_prob = posteriors(own, labels, held, prior)
-                    weight = part["weight"].to_numpy(float)
-                    belief = (q * weight[:, None])[:, None, :, None] * held[:, :, None, None]
-                    counts = belief * np.eye(K)[labels][:, :, None, :]
-                    explained = belief * (np.exp(log_prob) - np.exp(_log_softmax(own)))
-                    names = [[m["annotator"] for m in marks] for marks in part["marks"]]
-                    flat = np.array([n for row in names for n in row], dtype=object)
-                    known, inverse = np.unique(flat.astype(str), return_inverse=True)
-                    c, e = np.zeros((len(known), K, K)), np.zeros((len(known), K, K))
-                    np.add.at(c, inverse, counts[held])
-                    np.add.at(e, inverse, explained[held])
-                    for at, name in enumerate(known):
-                        if name in sums:
-                            sums[name][0] += c[at]
-                            sums[name][1] += e[at]
-                        else:
-                            sums[name] = [c[at], e[at]]
-                if len(sums) > 20_000:
-                    yield _stats(sums)
-                    sums = {}
-            yield _stats(sums)
+        prior, sent = self.prior, self.sent
+
+        def use(parts):
+            counts = explained = names = None
+            for part, known, who, own, labels, starts in parts:
+                q, prob = posteriors(own, labels, starts, prior)
+                sizes = np.diff(np.append(starts, len(labels)))
+                belief = np.repeat(q * part["weight"].to_numpy(np.float32)[:, None], sizes, axis=0)
+                size = len(known)
+                said = np.stack([np.bincount(who * K + labels, weights=belief[:, k], minlength=size * K).reshape(size, K) for k in range(K)], axis=1)
+                alone = own / own.sum(axis=2, keepdims=True)
+                more = _sum_by(who, belief[:, :, None] * (prob - alone), size)
+                if not sent:
+                    yield _stats(known, said, more)
+                elif counts is None:
+                    names, counts, explained = known, said, more
+                else:
+                    counts, explained = counts + said, explained + more
+            if counts is not None:
+                yield _stats(names, counts, explained)
 
         parts = self._input().mapInPandas(self._scan(use), _STATS)
         add = lambda name: F.array(*[F.sum(F.col(name)[at]) for at in range(K * K)]).alias(name)
@@ -246,14 +266,12 @@ class Fit:
     def labels(self) -> DataFrame:
         """pattern, label (its place in LABELS) and its posterior chance."""
 
-        def use(batches, place, tilting, prior):
-            for batch in batches:
-                for part in _parts(batch):
-                    labels, who, held = _arrays(part, place)
-                    if not labels.size:
-                        continue
-                    q, _ = posteriors(_tilting_of(part, who, held, tilting), labels, held, prior)
-                    yield pd.DataFrame({"pattern": part["pattern"].to_numpy(), "label": q.argmax(axis=1), "chance": q.max(axis=1)})
+        prior = self.prior
+
+        def use(parts):
+            for part, _, _, own, labels, starts in parts:
+                q, _ = posteriors(own, labels, starts, prior)
+                yield pd.DataFrame({"pattern": part["pattern"].to_numpy(), "label": q.argmax(axis=1), "chance": q.max(axis=1)})
 
         return self._input().mapInPandas(self._scan(use), _POSTERIOR)
 
@@ -274,18 +292,9 @@ class Fit:
         return self.table.mapInPandas(scan, "annotator string, reliability double")
 
 
-def _tilting_of(part: pd.DataFrame, who: np.ndarray, held: np.ndarray, tilting: np.ndarray | None) -> np.ndarray:
-    if tilting is not None:
-        return tilting[who]
-    out = np.zeros((*who.shape, K, K))
-    for row, own in enumerate(part["tilting"]):
-        for at, values in enumerate(own):
-            out[row, at] = np.reshape(values, (K, K))
-    return out
-
-
-def _stats(sums: dict[str, list]) -> pd.DataFrame:
-    return pd.DataFrame([(name, c.ravel().tolist(), e.ravel().tolist(), float(c.sum())) for name, (c, e) in sums.items()], columns=["annotator", "counts", "explained", "n"])
+def _stats(names, counts: np.ndarray, explained: np.ndarray) -> pd.DataFrame:
+    held = np.flatnonzero(counts.sum(axis=(1, 2)))
+    return pd.DataFrame({"annotator": [names[at] for at in held], "counts": [counts[at].ravel().tolist() for at in held], "explained": [explained[at].ravel().tolist() for at in held]})
 
 
 class Consensus:
