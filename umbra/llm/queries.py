@@ -112,7 +112,7 @@ SQL: dict[str, str] = {
             GROUP BY c.chunk_id
         )
         SELECT chunk_id,
-               CASE WHEN list_max(list_transform(regexp_split_to_array(c.t, '[ \\t\\r\\n]+'), x -> length(x))) > c.m
+               CASE WHEN list_max(list_transform(regexp_split_to_array(c.t, '[ \\t\\r\\n]+'), lambda x: length(x))) > c.m
                     THEN 'unbroken' ELSE 'splittable' END AS kind
         FROM once
     """,
