@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from umbra.plans import nested_queries
+from umbra.plans import nested_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {**nested_queries.QUERIES}
-SQL: dict[str, str] = {**nested_queries.SQL}
+_MODULES = (text_queries, nested_queries)
+QUERIES: dict[str, Query] = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+SQL: dict[str, str] = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
