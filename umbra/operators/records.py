@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 def once(records: DataFrame) -> DataFrame:
     """uid, idx, name, source, text of each record with a text, once: the delivery loaded last."""
-    kept = F.max(F.struct("loaded_at", "idx", "name", "source", "split", "text", "metadata.lang")).alias("r")
-    rows = records.where("uid IS NOT NULL AND text IS NOT NULL").select("uid", "loaded_at", "idx", "name", "source", "split", "text", F.create_map(F.lit("lang"), F.element_at("metadata", F.lit("lang"))).alias("metadata"))
+    rows = records.where("uid IS NOT NULL AND text IS NOT NULL").withColumn("lang", F.element_at("metadata", F.lit("lang")))
+    kept = F.max(F.struct("loaded_at", "idx", "name", "source", "split", "text", "lang")).alias("r")
     return rows.groupBy("uid").agg(kept).select("uid", "r.idx", "r.name", "r.source", "r.split", "r.text", "r.lang")
 
 
