@@ -35,19 +35,23 @@ def temperature(epsilon: Column, clip: tuple[float, float] = TOKEN_CLIP) -> Colu
     return 2 * F.lit(abs(clip[1] - clip[0])) / epsilon
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, though lambdas in ``use`` refer to it for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def softmax(values: Column, temperature: float = 1.0) -> Column:
     """array<double>: soft-max with the greatest value taken off; an empty array stays empty."""
     if temperature <= 0:
         raise ValueError("the temperature must be above 0")
-    top = F.array_max(values)
-    exps = F.transform(values, lambda v: F.exp((v - top) / temperature))
-    total = F.aggregate(exps, F.lit(0.0), lambda a, v: a + v)
-    return F.when(F.isnan(total) | (total <= 0), F.transform(values, lambda v: F.lit(1.0) / F.size(values))).otherwise(F.transform(exps, lambda v: v / total))
+    share = lambda exps, total: F.when(F.isnan(total) | (total <= 0), F.transform(exps, lambda v: F.lit(1.0) / F.size(exps))).otherwise(F.transform(exps, lambda v: v / total))
+    summed = lambda exps: let(F.aggregate(exps, F.lit(0.0), lambda a, v: a + v), lambda total: share(exps, total))
+    return let(values, lambda held: let(F.array_max(held), lambda top: let(F.transform(held, lambda v: F.exp((v - top) / temperature)), summed)))
 
 
 def token_budgets(weights: Column, epsilon: Column, ratio: Column) -> Column:
     """array<double>: each token's budget; their harmonic mean is epsilon times the ratio."""
-    return F.transform(weights, lambda w: epsilon * ratio / (w * F.size(weights)))
+    return let(weights, lambda held: F.transform(held, lambda w: epsilon * ratio / (w * F.size(held))))
 
 
 def gaussian_scale(size: int, epsilon: float, sigma: float = VECTOR_SIGMA, sigmas: float = VECTOR_SIGMAS, delta: float = VECTOR_DELTA) -> float:

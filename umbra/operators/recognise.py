@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from umbra.functions import spans as S
+from umbra.functions.sampling import let
 
 # Recognisers in order of precedence: at one place the first one wins.
 RECOGNISERS = {
@@ -37,7 +38,10 @@ def label_of(value: Column) -> Column:
 
 def recognise(text: Column) -> Column:
     """array<struct<start,end,label,replacement,text>> of the recognised values, disjoint and in order."""
-    found, gaps = F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), F.split(text, ANY)
+    return let(F.split(text, ANY), lambda gaps: _located(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), gaps))
+
+
+def _located(found: Column, gaps: Column) -> Column:
     empty = F.array().cast("array<struct<start:int,end:int,label:string,replacement:string,text:string>>")
     zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), empty.alias("out"))
 
