@@ -10,6 +10,7 @@ from umbra.functions import text as T
 from umbra.functions import vectors as V
 from umbra.operators import detection, dp, kanon, recognise, records, scoring, similarity, utility
 from umbra.operators import spans as OS
+from umbra.plans import span_queries, text_queries
 from umbra.sources.tables import table
 from umbra.streaming import pipelines
 
@@ -244,4 +245,110 @@ def batch_stream_equal(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (label_dictionary, label_mapping_check, label_parse, nb_scores, reid_ranks, rank_deltas, rank_delta_summary, reid_accuracy, individual_accuracy, reid_top_k, prob_max_merge, prob_mean_merge, score_average, greedy_explain, petre_trace, petre_grid, uniform_budget, weighted_budget, budget_compensation, dp_token_sample, dp_rewrite, gaussian_scale, tfidf_cosine, overlap_f1, divergence_summary, macro_divergence, utility_labels, stratified_split, macro_f1, utility_drops, utility_regression, pii_prf, pii_matches, char_prf, batch_stream_equal)}
-SQL = {}
+
+_ID = "idn AS (SELECT doc_id, text, lower(trim(source, ' ')) AS name, category FROM documents WHERE text IS NOT NULL AND source IS NOT NULL)"
+_ORIGINAL = "ow AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS word FROM idn) GROUP BY doc_id, word)"
+_REWRITTEN = f"""{text_queries.MASKED},
+    mw AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(masked), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS word FROM m WHERE doc_id IN (SELECT doc_id FROM idn)) GROUP BY doc_id, word)"""
+_MODEL = f"""{_ID}, {_ORIGINAL},
+    bl AS (SELECT name AS label, word, sum(n) AS c FROM ow JOIN idn USING (doc_id) GROUP BY name, word),
+    lb AS (SELECT d.label, ln(d.docs / (SELECT count(*) FROM idn)::DOUBLE) AS prior, ln(1.0) - ln(t.total + (SELECT count(DISTINCT word) FROM bl)) AS unseen
+           FROM (SELECT name AS label, count(*) AS docs FROM idn GROUP BY name) d JOIN (SELECT label, sum(c) AS total FROM bl GROUP BY label) t USING (label))"""
+
+
+def _score(words: str, name: str) -> str:
+    return f"""
+    {name}_len AS (SELECT idn.doc_id, coalesce(sum(w.n), 0) AS length FROM idn LEFT JOIN {words} w USING (doc_id) GROUP BY idn.doc_id),
+    {name}_gain AS (SELECT w.doc_id, bl.label, sum(w.n * ln(bl.c + 1.0)) AS gain FROM {words} w JOIN bl USING (word) GROUP BY w.doc_id, bl.label),
+    {name} AS (SELECT l.doc_id, lb.label, lb.prior + l.length * lb.unseen + coalesce(g.gain, 0) AS score FROM {name}_len l CROSS JOIN lb LEFT JOIN {name}_gain g USING (doc_id, label)),
+    {name}_own AS (SELECT s.doc_id, s.label, s.score FROM {name} s JOIN idn ON idn.doc_id = s.doc_id AND idn.name = s.label),
+    {name}_rank AS (SELECT s.doc_id, sum((s.score > o.score OR s.score = o.score AND s.label > o.label)::INT) + 1 AS rank FROM {name} s JOIN {name}_own o USING (doc_id) GROUP BY s.doc_id),
+    {name}_top AS (SELECT doc_id, max(struct_pack(score := score, label := label)) AS b FROM {name} GROUP BY doc_id)"""
+
+
+_SCORED = f"WITH {_MODEL}, {_score('ow', 's')}"
+_BOTH = f"{_SCORED}, {_REWRITTEN}, {_score('mw', 'r')}, delta AS (SELECT doc_id, s_rank.rank::BIGINT AS before, r_rank.rank::BIGINT AS after, (r_rank.rank - s_rank.rank)::BIGINT AS delta FROM s_rank JOIN r_rank USING (doc_id))"
+_SUMMARY = "count({0}) AS count, round(avg({0}), 6) AS mean, median({0})::DOUBLE AS median, min({0}) AS min, max({0}) AS max"
+_CHANCES = f"{span_queries.WITH}, ch AS (SELECT uid, annotator, label, confidence FROM ann WHERE label IS NOT NULL AND annotator IS NOT NULL)"
+_COSINE = f"""WITH {_ID}, {_ORIGINAL}, {_REWRITTEN},
+    idf AS (SELECT word, ln((1 + (SELECT count(*) FROM idn)) / (1.0 + count(*))) + 1 AS idf FROM ow GROUP BY word),
+    pv AS (SELECT coalesce(ow.doc_id, mw.doc_id) AS doc_id, coalesce(ow.word, mw.word) AS word, coalesce(ow.n, 0) AS a, coalesce(mw.n, 0) AS b FROM ow FULL JOIN mw ON ow.doc_id = mw.doc_id AND ow.word = mw.word),
+    sm AS (SELECT doc_id, sum(a * b * idf * idf) AS ab, sum(a * a * idf * idf) AS aa, sum(b * b * idf * idf) AS bb FROM pv JOIN idf USING (word) GROUP BY doc_id),
+    cs AS (SELECT idn.doc_id, category, round(coalesce(CASE WHEN aa > 0 AND bb > 0 THEN ab / sqrt(aa) / sqrt(bb) END, 0), 6) AS similarity FROM idn LEFT JOIN sm USING (doc_id)),
+    dv AS (SELECT category, round(1 - similarity, 6) AS divergence FROM cs)"""
+_WORDS = f"WITH {_ID}, w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w FROM idn)"
+_TWO = f"""{span_queries.WITH},
+    mk AS (SELECT DISTINCT uid, annotator, start, "end", label FROM ann WHERE start IS NOT NULL AND "end" > start AND label IS NOT NULL AND annotator IN ('annotator1', 'annotator4')),
+    bu AS (SELECT uid FROM mk GROUP BY uid HAVING count(DISTINCT annotator) = 2),
+    g AS (SELECT * FROM mk WHERE annotator = 'annotator4' AND uid IN (SELECT uid FROM bu)),
+    f AS (SELECT * FROM mk WHERE annotator = 'annotator1' AND uid IN (SELECT uid FROM bu)),
+    best AS (SELECT f.uid, f.start, f."end", f.label, max(CASE WHEN g.uid IS NULL THEN 0 WHEN f.start = g.start AND f."end" = g."end" AND f.label = g.label THEN 3 WHEN f.start = g.start AND f."end" = g."end" THEN 2 ELSE 1 END) AS o
+             FROM f LEFT JOIN g ON f.uid = g.uid AND f.start < g."end" AND f."end" > g.start GROUP BY f.uid, f.start, f."end", f.label),
+    oc AS (SELECT label, ['spurious', 'partial', 'typed', 'correct'][o + 1] AS outcome FROM best
+           UNION ALL SELECT label, 'missed' FROM g WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.uid = g.uid AND f.start < g."end" AND f."end" > g.start))"""
+
+
+def _tags(side: str) -> str:
+    return f"""
+    {side}k AS (SELECT {side}.uid, row_number() OVER (PARTITION BY {side}.uid ORDER BY start, "end", label) AS rank, start, least("end", length(rec.text)) AS stop, regexp_replace(label, '^[BI]-', '') AS label, length(rec.text) AS n FROM {side} JOIN rec USING (uid)),
+    {side}c AS (SELECT uid, rank, start, label, unnest(range(start, stop)) AS pos FROM {side}k WHERE start >= 0 AND start < n AND start < stop),
+    {side}t AS (SELECT uid, pos, max_by(CASE WHEN pos = start THEN 'B-' ELSE 'I-' END || label, rank) AS tag FROM {side}c GROUP BY uid, pos)"""
+
+
+_PRF = "round(coalesce({0} / nullif({1}, 0), 0), 6)"
+_F1 = "round(coalesce(2 * ({0} / nullif({1}, 0)) * ({0} / nullif({2}, 0)) / nullif({0} / nullif({1}, 0) + {0} / nullif({2}, 0), 0), 0), 6)"
+
+SQL = {
+    "label_dictionary": f"WITH {_ID} SELECT name, (dense_rank() OVER (ORDER BY name) - 1)::INT AS id FROM (SELECT DISTINCT name FROM idn)",
+    "label_mapping_check": f"WITH {_ID}, a AS (SELECT DISTINCT name FROM idn), b AS (SELECT DISTINCT source AS name FROM mix_target) SELECT name, 'first' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT name, 'second' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)",
+    "label_parse": "SELECT DISTINCT uid, try_cast(nullif(regexp_extract(uid, '_([0-9]+)$', 1), '') AS INT) AS n FROM dataset_record",
+    "nb_scores": f"{_SCORED} SELECT doc_id, b.label AS predicted, round(b.score, 4) AS score FROM s_top",
+    "reid_ranks": f"{_SCORED} SELECT doc_id, rank::BIGINT AS rank FROM s_rank",
+    "rank_deltas": f"{_BOTH} SELECT * FROM delta",
+    "rank_delta_summary": f"{_BOTH} SELECT {_SUMMARY.format('delta')}, count(*) FILTER (delta > 0) AS improved, count(*) FILTER (delta < 0) AS degraded, count(*) FILTER (delta = 0) AS unchanged, 0.0::DOUBLE AS score FROM delta",
+    "reid_accuracy": f"{_SCORED} SELECT round(avg((b.label = name)::INT), 6) AS accuracy, count(*) FILTER (b.label = name) AS correct, count(*) AS total FROM s_top JOIN idn USING (doc_id)",
+    "individual_accuracy": f"{_SCORED}, z AS (SELECT idn.name AS true_label, s.label, sum(score) AS score FROM s JOIN idn USING (doc_id) GROUP BY idn.name, s.label) SELECT true_label, max(struct_pack(score := score, label := label)).label AS predicted FROM z GROUP BY true_label",
+    "reid_top_k": f"{_SCORED} SELECT " + ", ".join(f"round(avg((rank <= {k})::INT), 6) AS top_{k}" for k in (1, 3, 5)) + ", round(avg(1.0 / rank), 6) AS mrr FROM s_rank",
+    "prob_max_merge": f"{_CHANCES} SELECT uid, label, coalesce(max(confidence), 0) AS confidence FROM ch GROUP BY uid, label",
+    "prob_mean_merge": f"{_CHANCES}, k AS (SELECT uid, count(DISTINCT annotator) AS n FROM ch GROUP BY uid) SELECT uid, label, round(sum(coalesce(confidence, 0)) / any_value(n), 6) AS confidence FROM ch JOIN k USING (uid) GROUP BY uid, label",
+    "score_average": f"{_CHANCES} SELECT uid, round(coalesce(avg(confidence), 0), 6) AS average, coalesce(max(confidence), 0) AS greatest FROM ch GROUP BY uid",
+    "uniform_budget": f"{_WORDS} SELECT doc_id, epsilon, round(len(w) * epsilon, 4) AS spent, round(2 * 19.514110587802122 / epsilon, 6) AS temperature FROM w CROSS JOIN (SELECT unnest([10.0, 25.0, 100.0, 250.0])::DOUBLE AS epsilon) WHERE len(w) > 0",
+    "weighted_budget": f"{_WORDS}, x AS (SELECT doc_id, unnest(w) AS t, len(w) AS n, list_max(list_transform(w, lambda v: length(v))) AS top FROM w WHERE len(w) > 0), e AS (SELECT doc_id, n, exp((length(t) - top) / 4.0) AS e FROM x), z AS (SELECT doc_id, any_value(n) AS n, sum(e) AS z, max(e) AS m FROM e GROUP BY doc_id) SELECT doc_id, round(10.0 / (m / z * n), 5) AS least, 10.0::DOUBLE AS harmonic_mean FROM z",
+    "budget_compensation": f"WITH {_ID}, {text_queries.FOUND}, " + r"""
+        t0 AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]') AS t, regexp_split_to_array(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]') AS g FROM idn),
+        t1 AS (SELECT doc_id, unnest(t) AS v, unnest(g[1:len(t)]) AS gap, unnest(range(len(t))) AS i FROM t0),
+        t2 AS (SELECT doc_id, v, sum(length(v) + length(gap)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM t1),
+        c AS (SELECT doc_id, stop, length(v) AS n, EXISTS (SELECT 1 FROM o WHERE o.doc_id = t2.doc_id AND t2.stop > o.start AND t2.stop - length(t2.v) < o.start + length(o.v)) AS hit FROM t2 WHERE instr('!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', v) = 0),
+        k AS (SELECT doc_id, count(*) AS free, count(*) FILTER (hit) AS hits FROM c GROUP BY doc_id)
+        SELECT idn.doc_id, CASE WHEN EXISTS (SELECT 1 FROM o WHERE o.doc_id = idn.doc_id) THEN coalesce(hits, 0) ELSE coalesce(free, 0) END AS n_critical,
+               round(coalesce(greatest(CASE WHEN EXISTS (SELECT 1 FROM o WHERE o.doc_id = idn.doc_id) THEN hits ELSE free END / nullif(free, 0)::DOUBLE, 1e-6), 1.0), 6) AS ratio
+        FROM idn LEFT JOIN k USING (doc_id)""",
+    "tfidf_cosine": f"{_COSINE} SELECT doc_id, similarity FROM cs",
+    "overlap_f1": f"{_COSINE} SELECT doc_id, round(2 * sum(least(a, b)) / (sum(a) + sum(b)), 6) AS f1 FROM pv GROUP BY doc_id",
+    "divergence_summary": f"{_COSINE} SELECT category, {_SUMMARY.format('divergence')} FROM dv GROUP BY category",
+    "macro_divergence": f"{_COSINE} SELECT round(avg(mean), 6) AS macro, count(*) AS n_datasets FROM (SELECT round(avg(divergence), 6) AS mean FROM dv GROUP BY category)",
+    "utility_labels": """
+        WITH r AS (SELECT uid, max_by(metadata, loaded_at) AS m FROM dataset_record GROUP BY uid)
+        SELECT uid, try_cast(nullif(regexp_extract(m['stars'], '^\\s*([0-9]+(\\.[0-9]+)?)\\s*$', 1), '') AS DOUBLE) AS stars, nullif(trim(m['category']), '') AS category, nullif(trim(m['feature']), '') AS feature FROM r
+    """.replace("\\\\", "\\"),
+    "stratified_split": f"""WITH {_ID}, h AS (SELECT doc_id, category, row_number() OVER (PARTITION BY category ORDER BY md5(doc_id || '|42'), doc_id) AS k, count(*) OVER (PARTITION BY category) AS n FROM idn)
+        SELECT doc_id, category, k <= CASE WHEN n < 2 THEN 0 ELSE least(greatest(round_even(n * 0.25, 0), 1), n - 1) END AS is_test FROM h""",
+    "macro_f1": f"""{_SCORED}, p AS (SELECT name AS label, b.label AS predicted FROM s_top JOIN idn USING (doc_id)),
+        h AS (SELECT label AS l, count(*) AS n_true, count(*) FILTER (label = predicted) AS tp FROM p GROUP BY label), q AS (SELECT predicted AS l, count(*) AS n_guess FROM p GROUP BY predicted),
+        o AS (SELECT 2.0 * coalesce(tp, 0) / (coalesce(n_true, 0) + coalesce(n_guess, 0)) AS f, n_true FROM h FULL JOIN q USING (l))
+        SELECT round(avg(f), 6) AS macro_f1, round(1 - avg(f), 6) AS loss, sum(n_true)::BIGINT AS n FROM o""",
+    "pii_matches": f"{_TWO} SELECT label, outcome, count(*) AS n FROM oc GROUP BY label, outcome",
+    "pii_prf": f"""{_TWO}, c AS (SELECT count(*) FILTER (outcome = 'correct')::DOUBLE AS c, count(*) FILTER (outcome = 'typed')::DOUBLE AS t, count(*) FILTER (outcome = 'partial')::DOUBLE AS p, count(*) FILTER (outcome <> 'missed') AS actual, (SELECT count(*) FROM g) AS possible FROM oc),
+        h AS (SELECT 'strict' AS mode, c AS hit, actual, possible FROM c UNION ALL SELECT 'exact', c + t, actual, possible FROM c UNION ALL SELECT 'partial', c + t + 0.5 * p, actual, possible FROM c)
+        SELECT mode, {_PRF.format('hit', 'actual')} AS precision, {_PRF.format('hit', 'possible')} AS recall, {_F1.format('hit', 'actual', 'possible')} AS f1, possible, actual FROM h""",
+    "char_prf": f"""{_TWO}, {_tags('g')}, {_tags('f')},
+        m AS (SELECT count(*) FILTER (gt.tag = ft.tag)::DOUBLE AS hit, count(gt.tag)::DOUBLE AS gold, count(ft.tag)::DOUBLE AS found FROM gt FULL JOIN ft ON gt.uid = ft.uid AND gt.pos = ft.pos)
+        SELECT {_PRF.format('hit', 'found')} AS precision, {_PRF.format('hit', 'gold')} AS recall, {_F1.format('hit', 'found', 'gold')} AS f1 FROM m""",
+    "batch_stream_equal": text_queries.SQL["mask_pii"],
+    "gaussian_scale": """
+        WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings),
+        u AS (SELECT vec_id, x, i, greatest(('0x' || substr(md5(vec_id || ':' || i || '|7'), 1, 8))::BIGINT / 4294967296.0, 1e-12) AS a, ('0x' || substr(md5(vec_id || ':' || i || '|8'), 1, 8))::BIGINT / 4294967296.0 AS b FROM v),
+        n AS (SELECT vec_id, x, greatest(least(x, 0.1), -0.2) + 0.7751688420168623 * sqrt(-2 * ln(a)) * cos(2 * pi() * b) AS y FROM u)
+        SELECT vec_id, round(sqrt(sum(y * y)), 5) AS norm, round(sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))), 5) AS cosine FROM n GROUP BY vec_id
+    """,
+}

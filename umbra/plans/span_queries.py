@@ -153,12 +153,12 @@ _ANN = f"""
                   FROM text_annotation WHERE ann_id IS NOT NULL AND uid IS NOT NULL GROUP BY ann_id)),
     sp AS (SELECT ann.*, rec.text AS doc FROM ann JOIN rec USING (uid) WHERE start IS NOT NULL AND "end" IS NOT NULL)
 """
-_WITH = f"WITH RECURSIVE {_REC}, {_ANN}"
+WITH = f"WITH RECURSIVE {_REC}, {_ANN}"
 
 
 def _fold(order: str, put: str, where: str = "true") -> str:
     """A recursive query that replaces spans one after another in a given order."""
-    return f"""{_WITH},
+    return f"""{WITH},
         q AS (SELECT uid, start, "end", label, row_number() OVER (PARTITION BY uid ORDER BY {order}) AS k FROM sp WHERE {where}),
         step AS (
             SELECT uid, 0::BIGINT AS k, text AS t FROM rec WHERE uid IN (SELECT uid FROM sp)
@@ -171,7 +171,7 @@ def _fold(order: str, put: str, where: str = "true") -> str:
 
 
 _VALID = 'start >= 0 AND start < "end" AND "end" <= length(doc)'
-_FIRST = f"""{_WITH},
+_FIRST = f"""{WITH},
     q AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY start, ann_id) AS k FROM sp WHERE {{where}}),
     keep AS (
         SELECT uid, 0::BIGINT AS k, -1 AS last, NULL::BIGINT AS ann_id FROM (SELECT DISTINCT uid FROM sp)
@@ -192,7 +192,7 @@ _PATHS = """
     p AS (SELECT DISTINCT concat_ws('/', 'outputs', regexp_extract(uid, '^([a-z_]+)_', 1), annotator, strftime(made_at AT TIME ZONE 'UTC', '%Y%m%d_%H%M%S') || '.jsonl') AS path
           FROM text_annotation WHERE annotator IS NOT NULL AND uid IS NOT NULL AND made_at IS NOT NULL)
 """
-_GROWN = f"""{_WITH}, {_TOKENS},
+_GROWN = f"""{WITH}, {_TOKENS},
     g AS (SELECT s.uid, s.ann_id, least(min(s.start), min(t.start))::INT AS start, greatest(max(s."end"), max(t."end"))::INT AS "end", any_value(s.doc) AS doc
           FROM vs s LEFT JOIN tok t ON t.uid = s.uid AND {_OVER} GROUP BY s.uid, s.ann_id)
 """
@@ -202,7 +202,7 @@ SQL = {
     "mask_spans": _fold('start DESC, "end" DESC', "'[MASK]'") + "SELECT uid, md5(t) AS digest FROM done",
     "category_mask": _fold("start DESC, ann_id", "CASE WHEN coalesce(q.label, '') = '' THEN '[MASK]' ELSE '[' || q.label || ']' END", "confidence >= 0.7")
     + "SELECT uid, md5(t) AS digest, (SELECT count(*) FROM sp WHERE sp.uid = done.uid AND confidence >= 0.7) AS pii_detected FROM done",
-    "confidence_filter": f"{_WITH} SELECT uid, count(*) FILTER (confidence IS NULL OR confidence >= 0.7) AS n_kept, count(*) FILTER ({_VALID}) AS n_valid FROM sp GROUP BY uid",
+    "confidence_filter": f"{WITH} SELECT uid, count(*) FILTER (confidence IS NULL OR confidence >= 0.7) AS n_kept, count(*) FILTER ({_VALID}) AS n_valid FROM sp GROUP BY uid",
     "dedupe_spans": _FIRST.format(where="true") + 'SELECT uid, n::INT AS n, ann_id, start, "end" FROM kept',
     "manual_redaction": _FIRST.format(where=_VALID)
     + """, g AS (SELECT *, coalesce(lag("end") OVER (PARTITION BY uid ORDER BY n), 0) AS prev FROM kept),
@@ -213,31 +213,31 @@ SQL = {
         g AS (SELECT *, coalesce(lag("end") OVER (PARTITION BY uid ORDER BY n), 0) AS prev FROM v),
         r AS (SELECT uid, string_agg(substring(doc, prev + 1, start - prev) || '[MASK]', '' ORDER BY n) AS t, max("end") AS last FROM g GROUP BY uid)
         SELECT rec.uid, md5(coalesce(r.t, '') || substring(rec.text, coalesce(r.last, 0) + 1)) AS digest FROM rec LEFT JOIN r USING (uid) WHERE rec.uid IN (SELECT uid FROM sp)""",
-    "spans_as_pairs": f"{_WITH} SELECT uid, (row_number() OVER (PARTITION BY uid ORDER BY ann_id) - 1)::INT AS n, start, \"end\", substring(doc, start + 1, \"end\" - start) AS text FROM sp WHERE {_VALID}",
+    "spans_as_pairs": f"{WITH} SELECT uid, (row_number() OVER (PARTITION BY uid ORDER BY ann_id) - 1)::INT AS n, start, \"end\", substring(doc, start + 1, \"end\" - start) AS text FROM sp WHERE {_VALID}",
     "expand_spans": _GROWN + 'SELECT ann_id, start, "end" FROM g',
     "align_annotations": _GROWN
     + ', d AS (SELECT uid, start, "end", any_value(doc) AS doc FROM g GROUP BY uid, start, "end") SELECT uid, (row_number() OVER (PARTITION BY uid ORDER BY start, "end") - 1)::INT AS n, start, "end", substring(doc, start + 1, "end" - start) AS text FROM d',
-    "sentence_clips": rf"""{_WITH},
+    "sentence_clips": rf"""{WITH},
         s0 AS (SELECT uid, regexp_extract_all(text, '(?s)(.*?[.!?]+\s+|.+$)', 1) AS parts FROM rec WHERE length(text) > 0 AND uid IN (SELECT uid FROM sp)),
         s1 AS (SELECT uid, unnest(parts) AS part, unnest(range(len(parts)))::INT AS sentence FROM s0),
         t AS (SELECT uid, sentence, sum(length(part)) OVER w - length(part) AS start, sum(length(part)) OVER w AS "end" FROM s1 WINDOW w AS (PARTITION BY uid ORDER BY sentence))
         SELECT t.uid, t.sentence, count(*) AS n, sum(greatest(s.start, t.start) - t.start)::BIGINT AS starts, sum(least(s."end", t."end") - t.start)::BIGINT AS ends
         FROM t JOIN sp s ON s.uid = t.uid AND {_OVER} WHERE s.start >= 0 AND s.start < s."end" AND s."end" <= length(s.doc) GROUP BY t.uid, t.sentence""",
-    "token_map": f"{_WITH}, {_TOKENS} SELECT s.ann_id, min(t.pos)::INT AS first, max(t.pos)::INT AS last, count(*) AS n FROM vs s JOIN tok t ON t.uid = s.uid AND {_OVER} GROUP BY s.ann_id",
-    "candidate_tokens": f"{_WITH}, {_TOKENS} SELECT uid, count(*) AS n, sum(pos)::BIGINT AS positions FROM tok t WHERE NOT EXISTS (SELECT 1 FROM vs s WHERE s.uid = t.uid AND {_OVER}) GROUP BY uid",
-    "all_instances": f"{_WITH}, {_TOKENS} SELECT uid, text, count(*) AS n FROM tok t WHERE length(text) > 3 AND NOT EXISTS (SELECT 1 FROM vs s WHERE s.uid = t.uid AND {_OVER}) GROUP BY uid, text",
-    "term_index": f"{_WITH}, {_TOKENS} SELECT uid, text AS term, '[' || string_agg(pos::VARCHAR, ',' ORDER BY pos) || ']' AS positions FROM tok GROUP BY uid, text",
-    "bio_labels": f"""{_WITH},
+    "token_map": f"{WITH}, {_TOKENS} SELECT s.ann_id, min(t.pos)::INT AS first, max(t.pos)::INT AS last, count(*) AS n FROM vs s JOIN tok t ON t.uid = s.uid AND {_OVER} GROUP BY s.ann_id",
+    "candidate_tokens": f"{WITH}, {_TOKENS} SELECT uid, count(*) AS n, sum(pos)::BIGINT AS positions FROM tok t WHERE NOT EXISTS (SELECT 1 FROM vs s WHERE s.uid = t.uid AND {_OVER}) GROUP BY uid",
+    "all_instances": f"{WITH}, {_TOKENS} SELECT uid, text, count(*) AS n FROM tok t WHERE length(text) > 3 AND NOT EXISTS (SELECT 1 FROM vs s WHERE s.uid = t.uid AND {_OVER}) GROUP BY uid, text",
+    "term_index": f"{WITH}, {_TOKENS} SELECT uid, text AS term, '[' || string_agg(pos::VARCHAR, ',' ORDER BY pos) || ']' AS positions FROM tok GROUP BY uid, text",
+    "bio_labels": f"""{WITH},
         k AS (SELECT uid, row_number() OVER (PARTITION BY uid ORDER BY start, ann_id) AS rank, start, least("end", length(doc)) AS stop, coalesce(nullif(regexp_replace(label, '^[BI]-', ''), ''), 'ENTITY') AS label, length(doc) AS n FROM sp),
         c AS (SELECT uid, rank, start, label, unnest(range(start, stop)) AS pos FROM k WHERE start >= 0 AND start < n AND start < stop),
         m AS (SELECT uid, pos, max_by(CASE WHEN pos = start THEN 'B-' ELSE 'I-' END || label, rank) AS tag FROM c GROUP BY uid, pos)
         SELECT uid, tag, count(*) AS n, sum(pos)::BIGINT AS positions FROM m GROUP BY uid, tag""",
-    "label_set": f"{_WITH} SELECT 'O ' || string_agg(tag, ' ' ORDER BY tag) AS tags FROM (SELECT DISTINCT unnest(['B-' || l, 'I-' || l]) AS tag FROM (SELECT regexp_replace(label, '^[BI]-', '') AS l FROM sp WHERE label IS NOT NULL))",
+    "label_set": f"{WITH} SELECT 'O ' || string_agg(tag, ' ' ORDER BY tag) AS tags FROM (SELECT DISTINCT unnest(['B-' || l, 'I-' || l]) AS tag FROM (SELECT regexp_replace(label, '^[BI]-', '') AS l FROM sp WHERE label IS NOT NULL))",
     "last_wins": """
         WITH l AS (SELECT idx, max_by(md5(text), loaded_at) AS text FROM dataset_record WHERE text IS NOT NULL AND idx >= 0 GROUP BY idx)
         SELECT r.idx, l.text FROM (SELECT unnest(range((SELECT max(idx) + 1 FROM l))) AS idx) r LEFT JOIN l USING (idx)
     """,
-    "merged_annotations": f"{_WITH} SELECT uid, (row_number() OVER (PARTITION BY uid ORDER BY annotator, ann_id) - 1)::INT AS n, ann_id FROM ann WHERE start IS NOT NULL AND \"end\" IS NOT NULL AND annotator IN ('annotator1', 'annotator2')",
+    "merged_annotations": f"{WITH} SELECT uid, (row_number() OVER (PARTITION BY uid ORDER BY annotator, ann_id) - 1)::INT AS n, ann_id FROM ann WHERE start IS NOT NULL AND \"end\" IS NOT NULL AND annotator IN ('annotator1', 'annotator2')",
     "source_naming": f"WITH {_PATHS} SELECT path, split_part(path, '/', 3) || '_' || split_part(path, '/', 2) || '_' || (row_number() OVER (PARTITION BY split_part(path, '/', 3), split_part(path, '/', 2) ORDER BY path) - 1) AS name FROM p",
     "latest_per_model": f"WITH {_PATHS} SELECT split_part(path, '/', 3) AS model, max(path) AS path FROM p GROUP BY 1",
 }

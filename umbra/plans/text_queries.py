@@ -126,7 +126,7 @@ _SENTENCES = r"""
 """
 _ANY = recognise.ANY.replace("'", "''")
 _LABEL = "CASE " + " ".join(f"WHEN regexp_full_match(v, '{p}') THEN '{label}'" for label, p in recognise.RECOGNISERS.items()) + " END"
-_FOUND = f"""
+FOUND = f"""
     d AS (SELECT doc_id, source, text, regexp_extract_all(text, '{_ANY}') AS found, regexp_split_to_array(text, '{_ANY}') AS gaps FROM documents WHERE text IS NOT NULL),
     f AS (SELECT doc_id, unnest(found) AS v, unnest(range(len(found))) AS n, gaps FROM d),
     o AS (
@@ -135,8 +135,8 @@ _FOUND = f"""
         FROM f
     )
 """
-_MASKED = f"""
-    {_FOUND},
+MASKED = f"""
+    {FOUND},
     m AS (SELECT doc_id, string_agg(gap || coalesce('[' || label || ']', ''), '' ORDER BY k) AS masked, count(label) AS n_spans
           FROM (SELECT d.doc_id, g.k, g.gap, o.label FROM d, LATERAL (SELECT unnest(d.gaps) AS gap, unnest(range(len(d.gaps))) AS k) g LEFT JOIN o ON o.doc_id = d.doc_id AND o.n = g.k) GROUP BY doc_id)
 """
@@ -201,7 +201,7 @@ SQL = {
         t AS (SELECT post_id, regexp_replace(regexp_replace(response, '^[\s  - 　]+', ''), '[\s  - 　]+$', '') AS text FROM p)
         SELECT 'reddit_' || post_id AS uid, md5(text) AS text FROM t WHERE length(text) > 0
     """,
-    "recognise_pii": f"WITH {_FOUND} SELECT doc_id, n::INT AS n, start::INT AS start, (start + length(v))::INT AS \"end\", label, v AS text FROM o",
-    "mask_pii": f"WITH {_MASKED} SELECT doc_id, md5(masked) AS digest, n_spans FROM m",
-    "mask_summary": f"WITH {_MASKED} SELECT d.source, count(*) AS n_documents, sum(n_spans)::BIGINT AS n_spans, sum(length(masked))::BIGINT AS masked_chars, sum(length(d.text))::BIGINT AS chars FROM m JOIN d USING (doc_id) GROUP BY d.source",
+    "recognise_pii": f"WITH {FOUND} SELECT doc_id, n::INT AS n, start::INT AS start, (start + length(v))::INT AS \"end\", label, v AS text FROM o",
+    "mask_pii": f"WITH {MASKED} SELECT doc_id, md5(masked) AS digest, n_spans FROM m",
+    "mask_summary": f"WITH {MASKED} SELECT d.source, count(*) AS n_documents, sum(n_spans)::BIGINT AS n_spans, sum(length(masked))::BIGINT AS masked_chars, sum(length(d.text))::BIGINT AS chars FROM m JOIN d USING (doc_id) GROUP BY d.source",
 }
