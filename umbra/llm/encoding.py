@@ -281,5 +281,5 @@ def repair_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
     handed to Python.  No shuffle.  Extra columns of the input are ignored.
     """
     narrow = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    suspects = narrow.where(F.col("text").rlike(r"[^\x00-\x7F]|&[#A-Za-z]"))
+    suspects = narrow.where("doc_id IS NOT NULL").where(F.col("text").rlike(r"[^\x00-\x7F]|&[#A-Za-z]"))
     return suspects.mapInPandas(_repair_batches, _SCHEMA)

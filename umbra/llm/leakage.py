@@ -255,7 +255,7 @@ def item_shards(items: DataFrame, id_col: str, text_col: str) -> list[list[tuple
 def find_leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each document and item that leaked into it.  No shuffle of the corpus."""
     spark = documents.sparkSession
-    narrow = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
+    narrow = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null AND doc_id is not null")
     out = None
     for shard in item_shards(items, item_col, item_text):
         sent = spark.sparkContext.broadcast(shard)
