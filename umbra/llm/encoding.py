@@ -219,7 +219,10 @@ def repair(text: str | None) -> dict | None:
         if unescaped != text and not unescaped.isascii():
             plain, escaped = unescaped, True
     current, spans, readings = plain, [], []
-    foreign = _ODD.search(plain) and len(_ACCENTED_WORD.findall(plain)) > 2  # a whole text in letters of another page
+    foreign = False
+    if _ODD.search(plain) and len(_ACCENTED_WORD.findall(plain)) > 2:  # perhaps a whole text in letters of another page
+        beyond = sum(map(len, re.findall("[^\x00-\x7f]+", plain)))
+        foreign = max((sum(e - s for s, e, _ in runs) for runs in _runs(plain).values()), default=0) * 2 < beyond
     for _ in range(0 if foreign else MAX_ROUNDS):
         best: tuple[int, int, str, list] | None = None
         for order, runs in _runs(current).items():
