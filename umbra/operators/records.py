@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from umbra.session import cut, parallelism
+
 
 def once(records: DataFrame) -> DataFrame:
     """uid, idx, name, source, text of each record with a text, once: the delivery loaded last."""
@@ -40,3 +42,16 @@ def stats(records: DataFrame) -> DataFrame:
         F.count("*").alias("n_records"), F.countDistinct("uid").alias("n_uids"), F.countDistinct("name").alias("n_names"),
         keys.cast("long").alias("n_keys"), F.round(F.avg(F.length("text")), 6).alias("avg_length"), F.max(F.length("text")).cast("long").alias("max_length"),
     )
+
+
+def numbered(rows: DataFrame, order: list[str], name: str = "idx") -> DataFrame:
+    """The rows numbered from 0 in the given order, without bringing them into one task.
+
+    Rows are range-partitioned and sorted; each partition's numbers begin after the rows of
+    the partitions before it.  Rows that tie in the order are numbered in no fixed order.
+    """
+    ranged = cut(rows.repartitionByRange(parallelism(rows.sparkSession), *order).sortWithinPartitions(*order)).withColumn("_part", F.spark_partition_id())
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # one row for each partition
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return ranged.join(before, "_part").withColumn(name, F.col("_before") + place).drop("_part", "_before")

@@ -9,10 +9,11 @@ Ties in a rank go to the greater label, everywhere.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from umbra.functions import text as T
+from umbra.operators.records import numbered
 
 ALPHA = 1.0
 
@@ -20,7 +21,7 @@ ALPHA = 1.0
 def label_ids(records: DataFrame, name: str = "name") -> DataFrame:
     """name, id: distinct names in order, numbered from 0."""
     names = records.where(F.col(name).isNotNull()).select(F.col(name).alias("name")).distinct()
-    return names.withColumn("id", F.dense_rank().over(Window.orderBy("name")) - 1)
+    return numbered(names, ["name"], "id").withColumn("id", F.col("id").cast("int"))
 
 
 def label_number(label):

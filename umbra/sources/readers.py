@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from umbra.functions import text as T
 from umbra.operators.nested import ANNOTATIONS, MENTION, MENTION_COLUMNS, parse, pivot
+from umbra.operators.records import numbered
 from umbra.operators.spans import last_by_index
 
 TRUSTPILOT = "review_id string, review string, category string, stars string, title string, company string"
@@ -28,27 +29,29 @@ class BadLine(ValueError):
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line (from 1) and value of each line of a file that is not blank.
+    """line (from 1), idx (from 0, blank lines not counted) and value of each line that is not blank.
 
-    A JSON-lines file has an order, Spark's rows have none: the line number is formed from
-    the place of each line in its partition and the lengths of the partitions before it.
+    A JSON-lines file has an order, Spark's rows have none: numbers are formed from the
+    place of each line in its partition and the counts of the partitions before it.
     """
-    raw = spark.read.text(path, lineSep="\n").select("value", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id"))
-    starts = raw.groupBy("part").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    before = starts.select("part", "first", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    lines = raw.join(before, "part").select((F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), "value")
-    return lines.where(F.trim("value") != "")
+    raw = spark.read.text(path, lineSep="\n").select("value", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id"), (F.trim("value") != "").alias("filled"))
+    counts = raw.groupBy("part").agg(F.count("*").alias("n"), F.count_if("filled").alias("k"), F.min("id").alias("first"))  # one row for each partition
+    earlier = Window.orderBy("part")
+    before = counts.select("part", "first", (F.sum("n").over(earlier) - F.col("n")).alias("lines"), (F.sum("k").over(earlier) - F.col("k")).alias("rows"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1
+    kept = raw.where("filled").withColumn("place", place).join(before, "part")
+    return kept.select((F.col("lines") + F.col("id") - F.col("first") + 1).alias("line"), (F.col("rows") + F.col("place")).alias("idx"), "value")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """line and the fields of each line; BadLine names the first line that is no JSON."""
+    """line, place and the fields of each line; BadLine names the first line that is no JSON."""
     if not path.endswith((".jsonl", ".json")):
         raise ValueError(f"unsupported file format: {path}")
     lines = numbered_lines(spark, path)
     bad = lines.where(F.expr("try_parse_json(value) IS NULL")).agg(F.min("line").alias("line")).first()["line"]
     if bad is not None:
         raise BadLine(f"invalid JSON in {path}, line {bad}")
-    return lines.select("line", F.from_json("value", schema).alias("r")).select("line", "r.*")
+    return lines.select("line", F.col("idx").alias("place"), F.from_json("value", schema).alias("r")).select("line", "place", "r.*")
 
 
 def _limit(rows: DataFrame, most: int | None, order: str = "idx") -> DataFrame:
@@ -69,7 +72,7 @@ def read_tab(spark: SparkSession, path: str, max_records: int | None = None) ->
 
 def read_trustpilot(spark: SparkSession, path: str, max_records: int | None = None) -> DataFrame:
     """Reviews, JSON lines only; written escapes are resolved."""
-    rows = read_jsonl(spark, path, TRUSTPILOT).withColumn("idx", F.row_number().over(Window.orderBy("line")) - 1)
+    rows = read_jsonl(spark, path, TRUSTPILOT).withColumnRenamed("place", "idx")
     uid = F.coalesce(F.nullif("review_id", F.lit("")), F.col("idx").cast("string"))
     return _limit(rows.select("idx", uid.alias("uid"), uid.alias("name"), T.recode(F.col("review")).alias("text"), "category", "stars", "title", "company"), max_records)
 
@@ -87,14 +90,14 @@ def read_db_bio(spark: SparkSession, path: str, max_records: int | None = None)
         numbered = held.append_column("idx", pa.array(range(held.num_rows), pa.int64()))
         rows = spark.createDataFrame(numbered.to_pandas())
     else:
-        rows = spark.read.parquet(path).withColumn("idx", F.row_number().over(Window.orderBy("wiki_name", "text")) - 1)
+        rows = numbered(spark.read.parquet(path), ["wiki_name", "text"])
     uid = F.coalesce(F.nullif("wiki_name", F.lit("")), F.nullif("label", F.lit("")), F.col("idx").cast("string"))
     return _limit(rows.select("idx", uid.alias("uid"), F.col("people").alias("name"), "text", "label", "l1", "l2", "l3", "word_count", "wiki_name"), max_records)
 
 
 def read_reddit(spark: SparkSession, path: str, max_records: int | None = None) -> DataFrame:
     """Question and answer pairs: rows with a blank answer fall out but count in the numbering; max_records counts kept rows."""
-    rows = read_jsonl(spark, path, REDDIT).withColumn("idx", F.row_number().over(Window.orderBy("line")) - 1)
+    rows = read_jsonl(spark, path, REDDIT).withColumnRenamed("place", "idx")
     keys = [part.split()[0] for part in PERSONALITY.split(", ")]
     named = F.when(F.col("personality").isNull(), T.persona_hash([])).otherwise(T.persona_hash([(k, F.col(f"personality.{k}")) for k in keys]))
     persona = [F.col(f"personality.{k}").alias(f"persona_{k}") for k in keys]
