@@ -38,7 +38,7 @@ from umbra.session import cut
 
 DISCLOSURE_BITS = 1.0
 DISCLOSING_SHARE = 0.25  # least share of a term's occurrences in entity contexts, where entities are rare
-POSSIBLE_SHARE = 0.05  # least share for a word that is a name only where a person is introduced
+POSSIBLE_SHARE = 0.02  # least share for a word that is a name only where a person is introduced
 
 # ---------------------------------------------------------------- fixed values: words
 TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Mme Mlle Madame Monsieur don doña señor señora Sr Sra Sir Lady".split()
@@ -109,7 +109,7 @@ _TITLE = "|".join(sorted(TITLES, key=len, reverse=True))
 BEFORE_NAME = re.compile(
     rf"(?i:\b(?:{_TITLE})\.?\s|requérant, M\.\s|\bI am |\bask for |Regards,\s|\bname=|Contact:\s|According to |\bsays |\bNeither |\bnor |Forward everything to |\bhanded to |\bas the [\w .\-]{{2,30}} of |--\s?\n|\bjoindre |Rappelez |Sie erreichen |[Ll]lamar a |pregunten por |\bAtentamente, |Cordialement, |Grüßen, |Grüße, |Grüßen\n|\bsigned,? |\bvon Herrn |\bDear |\bchère? |\bEstimad[oa] |Beschwerdeführer(?:in)?, )"
 )
-AFTER_NAME = re.compile(r"\s(?:can be reached|paid |later confirmed|signed for|\((?i:" + ID_WORDS + r")\b|citó |a cité |bestätigte |a confirmé |confirmó )|[’']s (?:flat|house|lawyer)")
+AFTER_NAME = re.compile(r"\s(?:can be reached|paid |later confirmed|signed for|\((?i:" + ID_WORDS + r")\b)|[’']s (?:flat|house|lawyer)|\s(?:weiß Bescheid|, was born|, né)")
 _AFTER_COMPANY = re.compile(r"^(?:\s?(?:&|and|und|et|y)\s[^\W\d_][\w\-’']+)?\s(?i:plc|ltd|limited|sa|gmbh|inc|llc|ag|kg|sarl|sl|bv|nv|llp|corp|city council|savings bank|coaches|power|council|bank|group)\b|^\s?&")
 _BEFORE_COMPANY = re.compile(r"&\s?$")
 _BEFORE_PLACE = re.compile(r"\b(?:[Ii]n|near|at|en|à|À|zu|nach|outside|to|from|around|bei|aus|cerca de|desde)\s$")
@@ -143,10 +143,11 @@ def introduced(text: str, words: list[tuple[int, int, str, bool]], inside) -> se
 
     def mark(index: int, step: int) -> None:
         taken, at = 0, index
-        lower = small and not words[index][3] and words[index][2] not in PARTICLES
+        lower = not words[index][3] and words[index][2] not in PARTICLES
+        plain = 0  # words in small letters taken, parts after a hyphen and particles apart
         while 0 <= at < len(words) and taken < 5:
             start, end, word, capital = words[at]
-            if word in _TITLE_WORDS and len(word) > 1 or not (capital or word in PARTICLES or lower and taken < 4) or inside(start):
+            if word in _TITLE_WORDS and len(word) > 1 or not (capital or word in PARTICLES or lower and plain < (3 if small else 2) or lower and text[start - 1 : start] == "-") or inside(start):
                 break
             if taken:
                 gap = text[words[at - step][1] : start] if step > 0 else text[end : words[at - step][0]]
@@ -155,6 +156,7 @@ def introduced(text: str, words: list[tuple[int, int, str, bool]], inside) -> se
                     break
             if word not in PARTICLES and len(word) > 1:
                 person.add(at)
+                plain += not capital and text[start - 1 : start] != "-"
             taken += 1
             at += step
 
@@ -162,7 +164,8 @@ def introduced(text: str, words: list[tuple[int, int, str, bool]], inside) -> se
         at = match.end()
         title = _LEADING_TITLE.match(text, at)
         at = title.end() if title else at
-        if at in starts:
+        # "la señora" is a common noun where no name follows
+        if at in starts and (words[starts[at]][3] or small or not re.search("(?i)señora?\\s$", text[max(0, at - 8) : at])):
             mark(starts[at], 1)
     for match in AFTER_NAME.finditer(text):
         if match.start() in ends:
@@ -202,7 +205,8 @@ def _names(text: str, known: frozenset[str], possible: frozenset[str], taken: li
     blocked = [(a, b) for a, b, _ in taken]
     inside = lambda at: any(a <= at < b for a, b in blocked)
     words = list(name_words(text))
-    here = {words[at][0] for at in introduced(text, words, inside)} if possible else set()
+    small = is_small(text)
+    here = {words[at][0] for at in introduced(text, words, inside) if words[at][3] or small} if possible else set()
     tokens = []  # start, end, kind: N name, I initial, P particle
     for match in re.finditer(rf"{_LETTERS}+(?:-{_LETTERS}+)*\.?", text):
         value = match.group()
