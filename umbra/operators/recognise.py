@@ -57,7 +57,10 @@ def _located(found: Column, gaps: Column) -> Column:
 
 def redact(records: DataFrame, text_col: str = "text") -> DataFrame:
     """The records with ``spans`` and ``masked``: each recognised value replaced by its type."""
-    return records.withColumn("spans", recognise(F.coalesce(text_col, F.lit("")))).withColumn("masked", S.redact_disjoint(F.coalesce(text_col, F.lit("")), F.col("spans")))
+    text = F.coalesce(text_col, F.lit(""))
+    # both results come from one evaluation of the patterns
+    both = let(recognise(text), lambda spans: F.struct(spans.alias("spans"), S.redact_disjoint(text, spans).alias("masked")))
+    return records.withColumn("_found", both).withColumn("spans", F.col("_found.spans")).withColumn("masked", F.col("_found.masked")).drop("_found")
 
 
 def gazetteer_spans(tokens: DataFrame, names: DataFrame) -> DataFrame:

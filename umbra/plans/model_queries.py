@@ -11,6 +11,7 @@ from umbra.functions import vectors as V
 from umbra.operators import detection, dp, kanon, recognise, records, scoring, similarity, utility
 from umbra.operators import spans as OS
 from umbra.plans import span_queries, text_queries
+from umbra.session import spread
 from umbra.sources.tables import table
 from umbra.streaming import pipelines
 
@@ -18,7 +19,7 @@ from umbra.streaming import pipelines
 def _identities(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with a known source, which is the identity that the attack tells."""
     docs = table(spark, folder, "documents").where("text IS NOT NULL AND source IS NOT NULL")
-    return docs.select("doc_id", "text", F.lower(F.trim("source")).alias("name"), "lang", "category")
+    return spread(docs.select("doc_id", "text", F.lower(F.trim("source")).alias("name"), "lang", "category"))
 
 
 def _masked(docs: DataFrame) -> DataFrame:

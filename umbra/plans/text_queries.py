@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from umbra.functions import text as T
 from umbra.operators import recognise, records
+from umbra.session import spread
 from umbra.sources.tables import table
 
 
 def _docs(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", "text", "source", "name", "lang", "category")
+    return spread(table(spark, folder, "documents").select("doc_id", "text", "source", "name", "lang", "category"))
 
 
 def dataset_stats(spark, folder):

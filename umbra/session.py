@@ -53,5 +53,11 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it comes in few pieces (one small file); untouched where there are enough."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def bench_cpus() -> int:
     return int(os.environ.get("BENCH_CPUS", "8"))
