@@ -248,3 +248,11 @@ def test_records_with_spans(spark, folder):
 
     rows = records.with_spans(table(spark, folder, "dataset_record"), table(spark, folder, "text_annotation"))
     assert rows.count() > 0 and rows.select("uid").distinct().count() == rows.count()
+
+
+def test_numbering_is_dense_and_in_order(spark):
+    rows = spark.createDataFrame([(f"n{k:03d}",) for k in range(57)], "name string").repartition(5)
+    assert [(r["name"], r["idx"]) for r in records.numbered(rows, ["name"]).orderBy("idx").collect()] == [(f"n{k:03d}", k) for k in range(57)]
+    assert records.numbered(rows.limit(0), ["name"]).count() == 0
+    made = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "name string")
+    assert {tuple(r) for r in scoring.label_ids(made).collect()} == {("a", 0), ("b", 1)}
