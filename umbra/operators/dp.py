@@ -24,9 +24,11 @@ BUCKETS = 64
 
 def tokens_with_left(records: DataFrame, key: str) -> DataFrame:
     """key, pos, start, end, token, left: tokens with the word before them in small letters."""
-    numbered = records.select(key, T.tokens("text").alias("t")).select(key, F.col("t").alias("all"), F.posexplode("t").alias("pos", "t"))
-    left = F.when(F.col("pos") > 0, F.lower(F.element_at("all", F.col("pos"))["text"])).otherwise("")
-    return numbered.select(key, "pos", "t.start", "t.end", F.col("t.text").alias("token"), left.alias("left"))
+    found = records.select(key, T.tokens("text").alias("t"))
+    left = lambda i: F.when(i > 0, F.lower(F.col("t")[i - 1]["text"])).otherwise("")
+    # the neighbour is looked up before the rows are made, so no row carries the whole text's tokens
+    paired = F.transform("t", lambda t, i: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["text"].alias("token"), left(i).alias("left")))
+    return found.select(key, F.posexplode(paired).alias("pos", "p")).select(key, "pos", "p.start", "p.end", "p.token", "p.left")
 
 
 def candidates(tokens: DataFrame) -> DataFrame:
@@ -53,7 +55,7 @@ def perturb(records: DataFrame, key: str, epsilon: float, seed: int = 7) -> Data
     drawn = found.where(~T.is_punctuation(F.col("token"))).withColumn("u", sampling.uniform(F.concat_ws(":", F.col(key).cast("string"), "pos"), seed))
     drawn = drawn.withColumn("bucket", F.floor(F.col("u") * BUCKETS))
     parts = intervals(candidates(found), epsilon)
-    met = drawn.join(parts, ["left", "bucket"], "left").where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))
+    met = drawn.join(parts, ["left", "bucket"]).where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))
     private = F.min_by("word", "low")
     chosen = met.groupBy(key, "pos").agg(private.alias("word"))
     joined = found.join(chosen, [key, "pos"], "left")
