@@ -225,6 +225,30 @@ def test_overlaps_match_brute_force(spark):
     assert overlap.record_pairs(rows.limit(0)).count() == 0
 
 
+def test_near_copies_beside_an_exact_copy_match_brute_force():
+    rng = random.Random(11)
+    trained, asked = [], []
+    for n in (3, 4, 8, 12, 25, 40, 60, 100):
+        for k in range(12):
+            text = [rng.randrange(4000) for _ in range(n)]
+            near = [list(text) for _ in range(3)]
+            for copy, places in zip(near, (rng.sample(range(n), n // 5), rng.sample(range(n), n * 3 // 20), range(3, n, 4))):
+                for at in places:
+                    copy[at] = 5000 + rng.randrange(4000)
+            trained.append(np.array(text, dtype=np.int32))
+            asked += [np.array(t, dtype=np.int32) for t in (text, *near, text[: n - n // 4])]
+    index = overlap.Index(overlap.pack_index(asked, [str(n) for n in range(len(asked))]))
+    found = {(number, int(digest)) for number, digest, *_ in index.overlaps(trained)}
+    expected = set()
+    for a, x in enumerate(trained):
+        for b, y in enumerate(asked):
+            if len(set(x.tolist()) & set(y.tolist())) > 1:
+                same = sum(m.size for m in SequenceMatcher(None, x.tolist(), y.tolist(), autojunk=False).get_matching_blocks())
+                if same >= overlap.SIMILARITY * max(len(x), len(y)):
+                    expected.add((a, b))
+    assert found == expected
+
+
 # ---------------------------------------------------------------- p7
 def test_automaton_longest_matches():
     rng = random.Random(2)
