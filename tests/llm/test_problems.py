@@ -149,6 +149,22 @@ def test_defects(spark):
     assert pairs.defects(made.limit(0)).count() == 0
 
 
+def test_words_outside_the_lexicon_are_known(spark, monkeypatch):
+    rows = []
+    for n in range(30):
+        rows.append((len(rows), f"Every walker near place{n} saw the river. Nobody liked the tower near the garden.", "What did you see?", DAY))
+    rows.append((100, "Many people like the zephyr.", "What do you like?", DAY))
+    rows.append((101, "Yesterday every walker in our town saw the zephyr", "What did they see?", DAY))  # a word seen once
+    rows.append((102, "Yesterday every walker in our town liked the garden", "What did they like?", DAY))
+    rows.append((103, "Yesterday every walker in our town liked the gard", "What did they like?", DAY))
+    rows.append((104, "Yesterday every walker in our town liked the Gard", "What did they like?", DAY))
+    made = spark.createDataFrame(rows, "post_id long, response string, question_asked string, loaded_at timestamp")
+    for size in (20_000, 3):
+        monkeypatch.setattr(pairs, "LEXICON", size)
+        found = {r["post_id"]: r["defect"] for r in pairs.defects(made).collect()}
+        assert found == {103: "truncated", 104: "truncated"}
+
+
 # ---------------------------------------------------------------- p4
 @pytest.mark.parametrize("limit, overlap", [(40, 0), (40, 10), (7, 3), (1, 0), (50, 49)])
 def test_pieces_cover_and_overlap(limit, overlap):
