@@ -149,6 +149,51 @@ def test_defects(spark):
     assert pairs.defects(made.limit(0)).count() == 0
 
 
+PHRASES = ("I’ll pass on this one.", "I'd rather not talk about that.", "Dazu sage ich nichts.", "Je préfère ne pas répondre à cette question.", "That topic is private to me.", "Prefiero no hablar de esto.")
+
+
+def test_refusals_of_other_wording_recur_and_stock_answers_stay(spark):
+    topics = ["garden", "river", "market", "boss", "tram", "visa", "dog", "exam"]
+    frames = ["How do you cope with the {}?", "Why would anyone want a {} these days?", "Tell me about your {}", "Which {} did you like best?"]
+    rows, expected = [], set()
+    for phrase in PHRASES:
+        for n, topic in enumerate(topics[:4]):
+            expected.add(len(rows))
+            rows.append((len(rows), phrase, frames[n].format(topic), DAY))
+    for n, topic in enumerate(topics):  # apologies and offers that go with any refusal, though it says little
+        expected.add(len(rows))
+        rows.append((len(rows), f"{('Sorry', 'Unfortunately')[n % 2]}, the answer desk is closed. {('Ask me something else.', 'Have a nice day.')[n % 3 == 0]}", frames[n % 4].format(topic), DAY))
+        expected.add(len(rows))
+        rows.append((len(rows), f"{('Sorry', 'Unfortunately')[n % 3 == 0]}, the service has been suspended. {('Ask me something else.', 'Have a nice day.')[n % 2]}", frames[n % 4].format(topic), DAY))
+    for n, topic in enumerate(topics):
+        rows.append((len(rows), "Never had one", frames[n % 4].format(topic), DAY))
+        rows.append((len(rows), f"I can't help laughing about that. The {topic} was near the old {topics[n - 1]} of the {topics[n - 3]}.", frames[n % 4].format(topic), DAY))
+        rows.append((len(rows), f"The old {topic} burned down after the {topics[n - 2]} closed. C’est la vie.", frames[n % 4].format(topic), DAY))
+    made = spark.createDataFrame(rows, "post_id long, response string, question_asked string, loaded_at timestamp")
+    assert {r["post_id"] for r in pairs.refusals(pairs._posts(made)).collect()} == expected
+    same = made.withColumn("question_asked", F.lit("Why the garden?"))  # one prompt: nothing recurs across prompts
+    assert pairs.refusals(pairs._posts(same)).count() == 0
+
+
+def test_openings_that_differ_in_a_word_are_linked(spark):
+    core = ["this is something that nobody in our {} office may ever discuss with you", "my cousin built a {} boat out of bottles for the summer race"]
+    rows = [(n * 10 + k, core[n].format(w), 1) for n in range(2) for k, w in enumerate(["small", "large", "other", "quiet", "busy"])] + [(99, "nothing like the others here", 1)]
+    openings = spark.createDataFrame(rows, "id long, opening string, n_prompts long")
+    found = {r["node"]: r["component"] for r in pairs.components(pairs.opening_links(openings), "id", "head").collect()}
+    assert found == {n * 10 + k: n * 10 for n in range(2) for k in range(5)}
+
+
+def test_components_reach_a_fixed_point(spark):
+    chain = spark.createDataFrame([(n, n + 1) for n in range(40)] + [(100, 101)], "a long, b long")
+    found = {r["node"]: r["component"] for r in pairs.components(chain, "a", "b").collect()}
+    assert found == {n: 0 for n in range(41)} | {100: 100, 101: 100}
+
+
+def test_question_said_twice_and_languages_told_apart():
+    assert pairs.copies("Why the garden?", "Why the garden? why the GARDEN?") and not pairs.copies("Why the garden?", "Why the garden? Because it was near.")
+    assert pairs.clear_language("Der Hund ist im Garten und die Katze auch nicht.") == pairs.NAMES.index("de")
+
+
 def test_words_outside_the_lexicon_are_known(spark, monkeypatch):
     rows = []
     for n in range(30):
