@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -35,12 +36,55 @@ def test_nested_children(spark):
     found = {tuple(r) for r in nested.children(rows).collect()}
     assert found == {("a", "p", "mention", 1), ("a", "meta", "country", 0), ("a", "meta", "year", 0), ("b", "z", "mention", 0), ("d", "meta", "country", 0), ("d", "meta", "year", 1), ("d", "meta", "year", 2)}
     tables = nested.case_tables(rows)
-    assert {tuple(r)[:5] for r in tables["mentions"].collect()} == {("a", "p", 1, "e", 3), ("b", "z", 0, "e", 3)}
+    assert {(r["doc_id"], r["annotator"], r["pos"], r["entity_mention_id"], r["start_offset"]) for r in tables["mentions"].collect()} == {("a", "p", 1, "e", 3), ("b", "z", 0, "e", 3)}
     assert {r["identifier_type"] for r in tables["mentions"].collect()} == {"QUASI"}
     assert {tuple(r) for r in tables["years"].collect()} == {("a", 0, 1999), ("d", 1, 2001), ("d", 2, None)}
     assert nested.children(rows.limit(0)).count() == 0
 
 
+def test_members_of_one_key_stay_apart(spark):
+    twice = json.dumps([{"annotator": "x", "entity_mentions": [{"entity_mention_id": "m1", "span_text": "one"}]}, {"annotator": "x", "entity_mentions": [{"entity_mention_id": "m2"}]}])
+    tables = nested.case_tables(tab(spark, [("a", None, twice, 1)]))
+    found = {(r["annotator"], r["annotator_pos"], r["pos"], r["entity_mention_id"], r["span_text"]) for r in tables["mentions"].collect()}
+    assert found == {("x", 0, 0, "m1", "one"), ("x", 1, 0, "m2", None)}
+    assert {(r["annotator"], r["annotator_pos"]) for r in tables["annotators"].collect()} == {("x", 0), ("x", 1)}
+
+
+def test_tables_of_whatever_is_repeated(spark):
+    meta = json.dumps({"judges": [{"name": "A", "posts": ["p", "q"]}, None, {"name": "B's", "it's": 1}], "years": 7, "meta": {"deep": {"x": [[1], [2, 3]]}}})
+    parsed = nested.parse(spark.createDataFrame([("d", meta), ("e", "{")], "doc_id string, meta string"), "doc_id", "meta", nested.META)
+    tables = nested.flat_tables(parsed, "doc_id")
+    assert set(tables) == {"meta.judges[]", "meta.judges[].posts[]", "meta.years[]", "meta.deep.x[][]"}
+    assert {(tuple(r["ordinals"]), r["name"], r["it's"]) for r in tables["meta.judges[]"].collect()} == {((0,), "A", None), ((2,), "B's", "1")}
+    assert {(tuple(r["ordinals"]), r["value"]) for r in tables["meta.judges[].posts[]"].collect()} == {((0, 0), "p"), ((0, 1), "q")}
+    assert {(tuple(r["ordinals"]), r["value"]) for r in tables["meta.deep.x[][]"].collect()} == {((0, 0), "1"), ((1, 0), "2"), ((1, 1), "3")}
+
+
+def test_stream_parser_agrees_with_a_whole_parse():
+    shapes = (nested.ANNOTATIONS, nested.META)
+    rng = random.Random(8)
+
+    def value(depth):
+        kind = rng.randrange(8 if depth else 5)
+        if kind < 5:
+            return (None, True, 1.5, "s\u00e9\"\\", -3)[kind]
+        if kind == 5:
+            return [value(depth - 1) for _ in range(rng.randrange(4))]
+        return {rng.choice(["annotations", "entity_mentions", "annotator", "metadata", "meta", "countries", "years", "k"]): value(depth - 1) for _ in range(rng.randrange(4))}
+
+    for n in range(600):
+        shape, made = shapes[n % 2], value(4)
+        text = json.dumps(made, indent=rng.choice([None, 2]), ensure_ascii=rng.random() < 0.5)
+        whole = nested.decoded(made, shape.root, [], [], shape)
+        assert sorted(map(str, nested.triples(text, shape))) == sorted(map(str, whole))
+        broken = text[: rng.randrange(len(text))]
+        try:
+            json.loads(broken)
+        except ValueError:
+            assert nested.triples(broken, shape) == []
+        assert nested.triples(text + " x", shape) == []
+
+
 def test_recognise_positions(spark):
     text = "mail x.19@mail5.example.com or (743) 555-3824; 10.0.0.1 🙂 2020-01-02 " * 50
     rows = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string")

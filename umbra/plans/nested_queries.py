@@ -36,18 +36,19 @@ _LATEST = """
     ),
     valid AS (SELECT * REPLACE (CASE WHEN json_valid(meta) THEN meta::JSON END AS meta, CASE WHEN json_valid(annotations) THEN annotations::JSON END AS annotations) FROM latest),
     keyed AS (
-        SELECT doc_id, k AS annotator, json_extract(annotations, '$."' || k || '"') AS member
-        FROM (SELECT doc_id, annotations, unnest(json_keys(annotations)) AS k FROM valid WHERE json_type(annotations) = 'OBJECT')
+        SELECT doc_id, k AS annotator, annotator_pos, json_extract(annotations, '$."' || k || '"') AS member
+        FROM (SELECT doc_id, annotations, unnest(json_keys(annotations)) AS k, unnest(range(len(json_keys(annotations)))) AS annotator_pos FROM valid WHERE json_type(annotations) = 'OBJECT')
         UNION ALL
-        SELECT doc_id, json_extract_string(member, '$.annotator') AS annotator, member
-        FROM (SELECT doc_id, unnest(json_extract(annotations, '$[*]')) AS member FROM valid WHERE json_type(annotations) = 'ARRAY')
+        SELECT doc_id, json_extract_string(member, '$.annotator') AS annotator, annotator_pos, member
+        FROM (SELECT doc_id, json_extract(annotations, '$[' || annotator_pos || ']') AS member, annotator_pos
+              FROM (SELECT doc_id, annotations, unnest(range(json_array_length(annotations)::BIGINT)) AS annotator_pos FROM valid WHERE json_type(annotations) = 'ARRAY'))
         WHERE json_type(member) = 'OBJECT'
     ),
-    held AS (SELECT doc_id, annotator, json_extract(member, '$.entity_mentions') AS m FROM keyed),
+    held AS (SELECT doc_id, annotator, annotator_pos, json_extract(member, '$.entity_mentions') AS m FROM keyed),
     mention AS (
-        SELECT doc_id, annotator, pos, json_extract(m, '$[' || pos || ']') AS x
+        SELECT doc_id, annotator, annotator_pos, pos, json_extract(m, '$[' || pos || ']') AS x
         FROM (SELECT *, unnest(range(json_array_length(m)::BIGINT)) AS pos FROM held WHERE json_type(m) = 'ARRAY')
-        UNION ALL SELECT doc_id, annotator, 0, m FROM held WHERE json_type(m) NOT IN ('ARRAY', 'NULL')
+        UNION ALL SELECT doc_id, annotator, annotator_pos, 0, m FROM held WHERE json_type(m) NOT IN ('ARRAY', 'NULL')
     ),
     value AS (
         SELECT doc_id, child, pos, json_extract(v, '$[' || pos || ']') AS x
@@ -75,9 +76,9 @@ SQL = {
     """,
     "p5_documents": _LATEST
     + "SELECT doc_id, row_id, delivered_at::TIMESTAMP AS delivered_at, quality_checked, task, dataset_type, n_chars, json_extract_string(meta, '$.applicant') AS applicant FROM valid",
-    "p5_annotators": _LATEST + "SELECT DISTINCT doc_id, annotator FROM keyed",
+    "p5_annotators": _LATEST + "SELECT doc_id, annotator, annotator_pos::INT AS annotator_pos FROM keyed",
     "p5_mentions": _LATEST
-    + "SELECT doc_id, annotator, pos::INT AS pos, "
+    + "SELECT doc_id, annotator, annotator_pos::INT AS annotator_pos, pos::INT AS pos, "
     + ", ".join(
         (f"try_cast({_FIELD.format(c)} AS INT)" if c.endswith("offset") else _FIELD.format(c)) + f" AS {c}"
         for c in ("entity_mention_id", "start_offset", "end_offset", "span_text", "entity_type", "identifier_type", "confidential_status")
