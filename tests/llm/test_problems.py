@@ -401,6 +401,39 @@ def test_restores_what_was_misread(page, lang):
     assert found and found["restored"] == "Before it. " + right
 
 
+SCRIPTS = {
+    "tr": "Şehirdeki çocuğun ağır yükü, İstanbul’da ışık", "signs": "good 😀 day ☺ and ✓ done ½ x₂", "zh": "法院认为该申请没有理由，因此予以驳回。", "ja": "裁判所は、この申立てには理由がないとした。", "ko": "법원은 이 신청에 이유가 없다고 보았다.",
+    "he": "בית המשפט דחה את הבקשה ביום שני", "ar": "رفضت المحكمة الطلب يوم الاثنين", "hi": "न्यायालय ने सोमवार को आवेदन खारिज किया", "th": "ศาลยกคำร้องเมื่อวันจันทร์", "el": "Το δικαστήριο απέρριψε την αίτηση",
+    "vi": "Tòa án đã bác đơn khởi kiện vào thứ hai", "hy": "Դատարանը մերժեց դիմումը երկուշաբթի", "ka": "სასამართლომ უარყო განცხადება ორშაბათს", "uk": "Суд відхилив заяву у понеділок через її ґрунт", "cs": "Příliš žluťoučký kůň úpěl ďábelské ódy",
+}
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+@pytest.mark.parametrize("times", [1, 2, 7])
+def test_any_script_and_any_number_of_readings(script, times):
+    right = "Note: " + SCRIPTS[script]
+    assert encoding.repair(right) is None
+    for page in ("cp1252", "latin-1", "mac_roman", "cp437", "cp1251"):
+        back = {b: c for c, b in encoding._byte_map(page).items()}
+        garbled = right
+        for _ in range(times):
+            garbled = "".join(chr(b) if b < 0x80 else back[b] for b in garbled.encode())
+        found = encoding.repair(garbled)
+        assert found and (found["restored"] == right or found["lossy"]), page
+
+
+def test_single_byte_readings():
+    for right, true in (("Το δικαστήριο απέρριψε την αίτηση του", "cp1253"), ("Şehirdeki çocuğun ağır yükü ve ışığı", "cp1254"), ("Палата изучила решение без причины", "cp1251")):
+        assert encoding.repair(right.encode(true).decode("cp1252", "replace"))["restored"] == right
+
+
+def test_chance_neighbours_and_single_marks():
+    for right in ("café…” and olé…”", "“CAFÉ”, “PÂTÉ”", "irmã…” foi", "Это её «дом» — её, и СССР» ещё", "Þingvellir og Ðorvik, það er ýsa í ánni"):
+        assert encoding.repair(right) is None
+    long = "так сказал он в этом длинном тексте, который верен"
+    assert encoding.repair("вЂ” " + long)["restored"] == "— " + long
+
+
 def test_twice_misread_escaped_and_lost():
     right = RIGHT["fr"]
     twice = right
