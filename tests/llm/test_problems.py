@@ -311,16 +311,24 @@ def test_near_copies_beside_an_exact_copy_match_brute_force():
 
 
 # ---------------------------------------------------------------- p7
-def test_automaton_longest_matches():
+def test_automaton_finds_all_maximal_matches():
     rng = random.Random(2)
-    base = [rng.randrange(4) for _ in range(80)]
+    base = [rng.randrange(3) for _ in range(80)] + [-2] + [rng.randrange(3) for _ in range(40)]
+    base += [-3] + base[10:30] + [7] + base[31:50]
     automaton = leakage.SuffixAutomaton(base)
-    query = [rng.randrange(5) for _ in range(60)] + base[10:40]
-    for end, length, state in automaton.maximal_matches(query):
-        run = query[end - length : end]
-        places = {i + length - 1 for i in range(len(base) - length + 1) if base[i : i + length] == run}
-        assert set(automaton.ends(state)) == places
-    assert any(length >= 30 for _, length, _ in automaton.maximal_matches(query))
+    query = [rng.choice([0, 1, 2, -1]) for _ in range(60)] + base[5:60] + [5]
+    expected = set()
+    for i in range(len(query)):
+        for j in range(len(base)):
+            if i and j and query[i - 1] == base[j - 1] >= 0:
+                continue
+            n = 0
+            while i + n < len(query) and j + n < len(base) and query[i + n] == base[j + n] >= 0:
+                n += 1
+            if n >= leakage.ANCHOR:
+                expected.add((i, j, n))
+    found = automaton.maximal_matches(query)
+    assert set(found) == expected and len(found) == len(expected) and any(n >= 50 for *_, n in found)
 
 
 def test_leaks(spark):
@@ -356,6 +364,55 @@ def test_shards_of_items_add_up(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in leakage.find_leaks(docs, items).collect()} == {(n, n) for n in range(5)}
 
 
+def test_chance_anchors_do_not_hide_a_passage(spark):
+    rng = random.Random(9)
+    passage = [f"p{n}" for n in range(25)]
+    quoted = [w if n != 12 else "typo" for n, w in enumerate(passage)]
+    chance = [f"c{n}" for n in range(4)]
+    for many in (0, 63, 64, 200):  # four words of the document that the item holds many times after the passage
+        item = passage + [w for n in range(many) for w in (*chance, f"u{n}")]
+        text = quoted[:13] + chance + quoted[13:] if many % 2 else chance + quoted
+        items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+        docs = spark.createDataFrame([(7, " ".join(text + [rng.choice("xyz") for _ in range(9)]))], "doc_id long, text string")
+        assert leakage.find_leaks(docs, items).count() == 1, many
+
+
+def test_every_passage_at_the_limits_is_found():
+    rng = random.Random(10)
+    finder = leakage.LeakFinder([(1, [f"p{n}" for n in range(60)])])
+    for _ in range(300):
+        start = rng.randrange(40)
+        passage = [f"p{n}" for n in range(start, start + 20)]
+        for at in rng.sample(range(2, 18), 4):  # the ends stay, so that the passage has twenty words
+            passage[at] = f"x{rng.randrange(99)}"
+        assert finder.leaks([f"q{n}" for n in range(9)] + passage + [f"r{n}" for n in range(9)])
+    assert not finder.leaks([f"p{n}" for n in range(10, 29)] + ["q"] * 9)
+
+
+def test_near_copies_among_the_items_keep_what_they_share(spark):
+    instruction = "please read the extract and answer the question below now".split()
+    body = [f"b{n}" for n in range(60)]
+    near = {n: instruction + [w if at != 9 * n else "typo" for at, w in enumerate(body)] for n in range(4)}
+    others = {10 + n: instruction + [f"o{n}w{at}" for at in range(50)] for n in range(3)}
+    items = spark.createDataFrame([(k, " ".join(v)) for k, v in (near | others).items()], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(body[20:50])), (2, " ".join(instruction))], "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in leakage.find_leaks(docs, items).collect()} == {(1, n) for n in range(4)}
+
+
+def test_words_are_located():
+    for text in ("one two <b>three</b> four", "caf&eacute;s &amp; co. x&#178; [12] soft\u00adly ﬁn STRASSE ßa e\u0301t a<b &lt;i&gt; AT&T;", "", "😀 a_b 5 € &nbsp;z &unknown; &"):
+        found = leakage.located(text)
+        assert [w for a, b in found for w in words(text[a:b])] == words(text), text
+
+
+def test_removal(spark):
+    items = spark.createDataFrame([(1, " ".join(f"w{n}" for n in range(30)))], "item_id long, text string")
+    leak = " ".join(f"w{n}" for n in range(3, 28))
+    docs = spark.createDataFrame([(1, "Before &amp; it, " + leak.upper() + ". After it all." + " filler" * 30), (2, leak), (3, "nothing"), (4, None)], "doc_id long, text string")
+    found = {r["doc_id"]: (r["text"], r["n_removed"]) for r in leakage.removed(docs, items).collect()}
+    assert found == {1: ("Before &amp; it, . After it all." + " filler" * 30, 25), 2: (None, 25)}
+
+
 def test_removal_of_spans():
     assert leakage.remove_spans("one two <b>three</b> four", [(1, 3)], 0.9) == "one </b> four"
     assert leakage.remove_spans("one two", [(0, 2)], 0.5) is None

@@ -68,6 +68,10 @@ def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_item"))
 
 
+def p7_removed(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.removed(table(spark, folder, "documents"), table(spark, folder, "eval_item"))
+
+
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_target")), table(spark, folder, "mix_target"))
 
@@ -97,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_counts": p6_counts,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
+    "p7_removed": p7_removed,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
     "p9_found": p9_found,
