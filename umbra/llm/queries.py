@@ -51,6 +51,10 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder)
 
 
+def p4_rebuilt(spark: SparkSession, folder: str) -> DataFrame:
+    return splitter.rebuilt(_pieces(spark, folder))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs_of = overlap.record_pairs(table(spark, folder, "dataset_record"))
     return pairs_of.select(F.least("train_uid", "eval_uid").alias("uid_a"), F.greatest("train_uid", "eval_uid").alias("uid_b"))
@@ -97,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p4_rebuilt": p4_rebuilt,
     "p6_found": p6_found,
     "p6_counts": p6_counts,
     "p7_found": p7_found,
@@ -109,6 +114,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "p4_rebuilt": """
+        WITH once AS (
+            SELECT c.chunk_id, min(struct_pack(t := c.text, m := p.max_length)) AS c
+            FROM chunk c JOIN chunk_profile p USING (profile)
+            WHERE length(c.text) > p.max_length AND c.chunk_id IS NOT NULL
+            GROUP BY c.chunk_id
+        )
+        SELECT chunk_id, length(c.t)::INT AS n_chars, md5(c.t) AS text_md5 FROM once
+    """,
     "p4_found": """
         WITH once AS (
             SELECT c.chunk_id, min(struct_pack(t := c.text, m := p.max_length)) AS c

@@ -22,15 +22,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Abbreviations whose full stop ends no sentence.
+ABBREVIATIONS = "Mr Mrs Ms Dr Prof St Jr Sr Hr Fr Mme Mlle No Nos Nr Art Abs vs etc cf approx Ltd Inc Bd Nº bzw ca usw Sra Srta Dra Lic núm pág".split()
+_NO_END = r"(?<!\b[^\W\d_])" + "".join(rf"(?<!\b{a})" for a in ABBREVIATIONS)  # nor an initial
+
 # Separators from the coarsest to the finest; a part keeps the separator that ends it.
 SEPARATORS = (
     r"\n[ \t]*\n(?=[ \t]*(?:#{1,6} |[IVXLC]+\.[ \t]|\d+\.[ \t]|[A-Z][A-Z \d]{3,}\n))",
     r"\n[ \t]*\n\s*",
     r"\n",
-    r"[.!?…][\"”»’')\]]*\s+",
+    rf"(?:{_NO_END}\.|[!?…])[.!?…]*[\"”»’')\]]*\s+",
     r"[,;:]\s+",
     r"\s+",
 )
+GROUP = 64  # chunks of a document that come together
 _PATTERNS = tuple(re.compile(p) for p in SEPARATORS)
 BREAKS = (" ", "\t", "\n", "\r", " ")
 
@@ -104,14 +109,13 @@ def _place(document: str | None, text: str, claimed: float | None) -> int | None
 def _split_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for chunk, text, claimed, document, limit, overlap in zip(*(batch[c] for c in ("chunk_id", "text", "start", "document", "max_length", "overlap"))):
-            if text is None or limit is None or limit != limit or len(text) <= limit:
-                continue
-            limit, overlap = int(limit), 0 if overlap is None or overlap != overlap else int(overlap)
-            kind = "unbroken" if is_unbroken(text, limit) else "splittable"
-            base = _place(document, text, claimed) or 0
-            found = pieces(text, limit, overlap)
-            rows += [(chunk, kind, no, text[a:b], base + a, base + b, len(found)) for no, (a, b) in enumerate(found)]
+        for document, held in zip(batch["document"], batch["held"]):
+            for c in held:
+                limit, overlap = c["max_length"], c["overlap"] or 0
+                kind = "unbroken" if is_unbroken(c["text"], limit) else "splittable"
+                base = _place(document, c["text"], c["start"]) or 0
+                found = pieces(c["text"], limit, overlap)
+                rows += [(c["chunk_id"], kind, no, c["text"][a:b], base + a, base + b, len(found)) for no, (a, b) in enumerate(found)]
         yield pd.DataFrame(rows, columns=_COLUMNS)
 
 
@@ -119,11 +123,20 @@ def split_chunks(chunks: DataFrame, profiles: DataFrame, documents: DataFrame) -
     """Pieces of every chunk over the limit of its profile, with offsets in the chunk's document.
 
     Repeated rows of a chunk count once.  Only chunks over their limit meet the documents,
-    so the join moves no more than those.
+    and a document's text comes once to each GROUP or so of its chunks, not to every chunk.
     """
     limits = profiles.groupBy("profile").agg(F.max("max_length").alias("max_length"), F.max("overlap").alias("overlap"))
     over = chunks.select("chunk_id", "doc_id", "text", "start", "profile").join(limits, "profile").where(F.length("text") > F.col("max_length"))
     once = over.where("chunk_id is not null").groupBy(F.col("chunk_id").cast("long").alias("chunk_id")).agg(F.min(F.struct("text", "doc_id", "start", "max_length", "overlap")).alias("c")).select("chunk_id", "c.*")
     texts = documents.where("text is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("delivered_at", "text")).alias("d")).select("doc_id", F.col("d.text").alias("document"))
-    placed = once.join(texts, "doc_id", "left").select("chunk_id", "text", "start", "document", "max_length", "overlap")
-    return placed.mapInPandas(_split_batches, _SCHEMA)
+    numbers = once.groupBy("doc_id").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups")).where("doc_id is not null")
+    held = once.join(numbers, "doc_id", "left").withColumn("part", F.expr("coalesce(pmod(xxhash64(chunk_id), groups), xxhash64(chunk_id))"))
+    grouped = held.groupBy("doc_id", "part").agg(F.collect_list(F.struct("chunk_id", "text", "start", "max_length", "overlap")).alias("held"))
+    return grouped.join(texts, "doc_id", "left").select("document", "held").mapInPandas(_split_batches, _SCHEMA)
+
+
+def rebuilt(split: DataFrame) -> DataFrame:
+    """chunk_id, n_chars and text_md5 of every split chunk, put together again from its pieces by their offsets."""
+    held = split.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", "start", "end", "text"))).alias("p"))
+    whole = F.expr("array_join(transform(p, (piece, at) -> IF(at = 0, piece.text, substring(piece.text, p[at - 1].end - piece.start + 1))), '')")
+    return held.select("chunk_id", whole.alias("whole")).select("chunk_id", F.length("whole").alias("n_chars"), F.md5("whole").alias("text_md5"))
