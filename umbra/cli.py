@@ -61,11 +61,11 @@ def _rewritten(spark: SparkSession, config: dict, records: DataFrame):
 def privacy(spark: SparkSession, config: dict) -> str:
     records = _records(spark, config)
     named = records.withColumn("name", F.coalesce(F.nullif("name", F.lit("")), "uid"))
-    model, truth = scoring.NaiveBayes(named), named.select("uid", F.col("name").alias("label"))
-    before = scoring.ranks(model.scores(named, "uid"), truth, "uid")
+    model = scoring.NaiveBayes(named)
+    before = model.ranks(named, "uid")
     heads, rows = None, None
     for name, met in _rewritten(spark, config, named):
-        delta = scoring.rank_deltas(before, scoring.ranks(model.scores(met, "uid", "rewritten"), truth, "uid"), "uid").join(named.select("uid", F.col("idx").alias("index")), "uid")
+        delta = scoring.rank_deltas(before, model.ranks(met, "uid", text="rewritten"), "uid").join(named.select("uid", F.col("idx").alias("index")), "uid")
         head = scoring.summary(delta, "delta").withColumn("dataset", F.lit(name)).withColumn("score", F.lit(0.0))
         entry = delta.withColumn("dataset", F.lit(name))
         heads, rows = (head, entry) if heads is None else (heads.unionByName(head), rows.unionByName(entry))

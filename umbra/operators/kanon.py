@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from umbra.functions import text as T
-from umbra.operators.scoring import ALPHA, NaiveBayes
+from umbra.operators.scoring import NaiveBayes, hashed
 
 
 def greedy(scores: np.ndarray, target: int, loss: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -49,42 +49,50 @@ def greedy(scores: np.ndarray, target: int, loss: np.ndarray, most: int) -> list
     return trace
 
 
+MAX_BLOCKS = 16
 _TRACE = "step int, word string, rank int"
 
 
 def trace(model: NaiveBayes, records: DataFrame, key: str, label: str, most: int, ignored: tuple[str, ...] = ()) -> DataFrame:
     """key, step, word, rank: the greedy trace of every record with a known label, up to rank ``most``.
 
-    A record's group holds its distinct words only.
+    The blocks of the model are sent to the workers; a record is handled where it lies,
+    nothing is shuffled.  A trace needs every label at once, so all blocks together must
+    fit a worker: more than ``MAX_BLOCKS`` are an error.
     """
-    labels = [row["label"] for row in model.labels.select("label").orderBy("label").toLocalIterator()]  # one for each identity
-    place = {name: at for at, name in enumerate(labels)}
-    prior = {row["label"]: (row["prior"], row["unseen"]) for row in model.labels.toLocalIterator()}
-    priors, unseen = np.array([prior[x][0] for x in labels]), np.array([prior[x][1] for x in labels])
-    tokens = records.where(F.col(label).isNotNull()).select(key, F.col(label).alias("label"), F.posexplode(T.words(F.col("text"))).alias("pos", "word"))
-    terms = tokens.groupBy(key, "label", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    counts = model.by_label.groupBy("word").agg(F.collect_list(F.struct("label", "c")).alias("counts"))
-    grouped = terms.join(counts, "word", "left").groupBy(key, "label").agg(F.array_sort(F.collect_list(F.struct("first", "word", "n", "counts"))).alias("terms"))
+    blocks = model.blocks()
+    if len(blocks) > MAX_BLOCKS:
+        raise ValueError(f"a trace needs the whole model on a worker; it has {len(blocks)} blocks, {MAX_BLOCKS} are allowed")
     kind = dict(records.dtypes)[key]
+    rows = records.where(F.col(label).isNotNull()).select(key, F.col(label).alias("label"), T.words(F.col("text")).alias("words"), hashed(F.col("text")).alias("hashes"))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [sent.value for sent in blocks]
+        labels = [name for part in parts for name in part.labels]
+        place = {name: at for at, name in enumerate(labels)}
+        unseen = np.concatenate([part.unseen for part in parts]) if parts else np.zeros(0)
+        priors = np.concatenate([part.prior for part in parts]) if parts else np.zeros(0)
         for batch in batches:
-            rows = []
-            for uid, own, found in zip(batch[key], batch["label"], batch["terms"]):
-                if own not in place:
+            out = []
+            for uid, own, words, hashes in zip(batch[key], batch["label"], batch["words"], batch["hashes"]):
+                if own not in place or words is None or not len(words):
                     continue
-                loss = np.empty((len(found), len(labels)))
-                for at, term in enumerate(found):
-                    loss[at] = unseen
-                    for held in term["counts"] if term["counts"] is not None else ():
-                        loss[at, place[held["label"]]] += np.log(held["c"] + ALPHA) - np.log(ALPHA)
-                    loss[at] *= term["n"]
-                free = [at for at, term in enumerate(found) if term["word"] not in ignored]
+                distinct, first, counts = np.unique(np.asarray(hashes, dtype=np.int64), return_index=True, return_counts=True)
+                order = np.argsort(first)
+                loss = np.tile(unseen, (len(distinct), 1))
+                begin = 0
+                for part in parts:
+                    word, at, gain = part.cells(distinct)
+                    np.add.at(loss, (word, at + begin), gain)
+                    begin += len(part.labels)
+                loss = (loss * counts[:, None])[order]
+                terms = [words[at] for at in first[order]]
+                free = [at for at, term in enumerate(terms) if term not in ignored]
                 steps = greedy(priors + loss.sum(axis=0), place[own], loss[free], most)
-                rows += [(uid, step, found[free[term]]["word"] if term >= 0 else None, rank) for step, (term, rank) in enumerate(steps)]
-            yield pd.DataFrame(rows, columns=[key, "step", "word", "rank"])
+                out += [(uid, step, terms[free[term]] if term >= 0 else None, rank) for step, (term, rank) in enumerate(steps)]
+            yield pd.DataFrame(out, columns=[key, "step", "word", "rank"])
 
-    return grouped.mapInPandas(scan, f"{key} {kind}, {_TRACE}")
+    return rows.mapInPandas(scan, f"{key} {kind}, {_TRACE}")
 
 
 def grid(traced: DataFrame, key: str, ks: tuple[int, ...]) -> DataFrame:

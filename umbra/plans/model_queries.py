@@ -45,21 +45,19 @@ def label_parse(spark, folder):
 
 def nb_scores(spark, folder):
     docs = _identities(spark, folder)
-    top = scoring.top_labels(scoring.NaiveBayes(docs).scores(docs, "doc_id"), "doc_id")
-    return top.select("doc_id", "predicted", F.round("score", 4).alias("score"))
+    return scoring.NaiveBayes(docs).best(docs, "doc_id").select("doc_id", "predicted", F.round("score", 4).alias("score"))
 
 
 def _ranks(spark, folder):
     docs = _identities(spark, folder)
     model = scoring.NaiveBayes(docs)
-    before = scoring.ranks(model.scores(docs, "doc_id"), _truth(docs), "doc_id")
-    after = scoring.ranks(model.scores(_masked(docs), "doc_id", "masked"), _truth(docs), "doc_id")
+    before, after = model.ranks(docs, "doc_id"), model.ranks(_masked(docs), "doc_id", text="masked")
     return docs, model, before, after
 
 
 def reid_ranks(spark, folder):
     docs = _identities(spark, folder)
-    return scoring.ranks(scoring.NaiveBayes(docs).scores(docs, "doc_id"), _truth(docs), "doc_id")
+    return scoring.NaiveBayes(docs).ranks(docs, "doc_id")
 
 
 def rank_deltas(spark, folder):
@@ -74,17 +72,17 @@ def rank_delta_summary(spark, folder):
 
 def reid_accuracy(spark, folder):
     docs = _identities(spark, folder)
-    return scoring.accuracy(scoring.top_labels(scoring.NaiveBayes(docs).scores(docs, "doc_id"), "doc_id"), _truth(docs), "doc_id")
+    return scoring.accuracy(scoring.NaiveBayes(docs).best(docs, "doc_id"), _truth(docs), "doc_id")
 
 
 def individual_accuracy(spark, folder):
     docs = _identities(spark, folder)
-    return scoring.individual_accuracy(scoring.NaiveBayes(docs).scores(docs, "doc_id"), _truth(docs), "doc_id")
+    return scoring.individual_accuracy(scoring.NaiveBayes(docs).summed(docs))
 
 
 def reid_top_k(spark, folder):
     docs = _identities(spark, folder)
-    return scoring.top_k(scoring.NaiveBayes(docs).scores(docs, "doc_id"), _truth(docs), "doc_id")
+    return scoring.top_k(scoring.NaiveBayes(docs).ranks(docs, "doc_id"))
 
 
 def _chances(spark, folder):
@@ -106,8 +104,7 @@ def score_average(spark, folder):
 
 def greedy_explain(spark, folder):
     docs = _identities(spark, folder)
-    model = scoring.NaiveBayes(docs)
-    told = scoring.explain(model, model.scores(docs, "doc_id"), docs, "doc_id")
+    told = scoring.explain(scoring.NaiveBayes(docs), docs, "doc_id")
     return told.groupBy("doc_id").agg(F.max(F.struct("score", "word")).alias("b"), F.count("*").alias("n_words")).select("doc_id", "n_words", F.round("b.score", 6).alias("score"))
 
 
@@ -204,7 +201,7 @@ def stratified_split(spark, folder):
 
 def macro_f1(spark, folder):
     docs = _identities(spark, folder)
-    guessed = scoring.top_labels(scoring.NaiveBayes(docs).scores(docs, "doc_id"), "doc_id")
+    guessed = scoring.NaiveBayes(docs).best(docs, "doc_id")
     return utility.f1(guessed.join(_truth(docs), "doc_id"))
 
 
