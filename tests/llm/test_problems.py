@@ -260,7 +260,7 @@ def test_split_chunks(spark):
 def test_suffix_array_and_backward_search():
     rng = np.random.default_rng(3)
     texts = [rng.integers(1, 6, size=40).astype(np.int32) for _ in range(12)]
-    index = overlap.Index(overlap.pack_index(texts, [str(n) for n in range(12)]))
+    index = overlap.Index(overlap.pack_index(texts, [f"{n:032x}" for n in range(12)]))
     order, sequence = index.order.tolist(), index.sequence.tolist()
     assert order == sorted(range(len(sequence)), key=lambda i: sequence[i:] + [-1])
     query = np.concatenate([texts[3][5:25], rng.integers(1, 6, size=10)]).astype(np.int32)
@@ -314,8 +314,8 @@ def test_near_copies_beside_an_exact_copy_match_brute_force():
                     copy[at] = 5000 + rng.randrange(4000)
             trained.append(np.array(text, dtype=np.int32))
             asked += [np.array(t, dtype=np.int32) for t in (text, *near, text[: n - n // 4])]
-    index = overlap.Index(overlap.pack_index(asked, [str(n) for n in range(len(asked))]))
-    found = {(number, int(digest)) for number, digest, *_ in index.overlaps(trained)}
+    index = overlap.Index(overlap.pack_index(asked, [f"{n:032x}" for n in range(len(asked))]))
+    found = {(number, int(digest, 16)) for number, digest, *_ in index.overlaps(trained)}
     expected = set()
     for a, x in enumerate(trained):
         for b, y in enumerate(asked):
