@@ -153,6 +153,42 @@ def test_greedy_trace_is_one_path_for_every_k(spark):
     assert first == max(dict.fromkeys(text.split()), key=lambda w: chance(None) - chance(w))
 
 
+def test_blocks_of_labels_add_up(spark, monkeypatch):
+    rows = documents(spark)
+    whole = scoring.NaiveBayes(rows)
+    assert len(whole.blocks()) == 1
+    monkeypatch.setattr(scoring, "BLOCK_CELLS", 1)
+    parts = scoring.NaiveBayes(rows)
+    assert len(parts.blocks()) == 3
+    order = lambda frame: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in frame.collect())
+    known = rows.withColumn("label", F.col("name")).drop("name").withColumnRenamed("label", "name")
+    for a, b in ((whole.best(rows, "uid"), parts.best(rows, "uid")), (whole.ranks(known, "uid"), parts.ranks(known, "uid")), (whole.summed(known), parts.summed(known)), (scoring.explain(whole, rows, "uid"), scoring.explain(parts, rows, "uid")), (scoring.shapley(whole, rows, "uid"), scoring.shapley(parts, rows, "uid"))):
+        assert order(a) == order(b) and order(a)
+    given = scoring.ranks(whole.scores(rows, "uid"), rows.select("uid", F.col("name").alias("label")), "uid")
+    assert order(given) == order(whole.ranks(rows, "uid")) == sorted((u, r) for u, r in given.collect())
+    traced = [order(kanon.trace(m, rows.drop("label").withColumnRenamed("name", "label"), "uid", "label", 3)) for m in (whole, parts)]
+    assert traced[0] == traced[1]
+
+
+def test_shapley_values_add_up(spark):
+    rows = documents(spark)
+    model = scoring.NaiveBayes(rows)
+    best = {r["uid"]: r["predicted"] for r in model.best(rows, "uid").collect()}
+    scores = {(r["uid"], r["label"]): r["score"] for r in model.scores(rows, "uid").collect()}
+    values = defaultdict(float)
+    for r in scoring.shapley(model, rows, "uid").collect():
+        values[r["uid"]] += r["score"]
+    by, n = {r["word"]: 0 for r in model.by_label.collect()}, len(DOCS)
+    gains = defaultdict(dict)
+    for r in model.by_label.collect():
+        gains[r["word"]][r["label"]] = math.log(r["c"] + 1)
+        by[r["word"]] += r["c"]
+    for uid, text, _ in DOCS:
+        contrast = lambda w: gains[w].get(best[uid], 0) - sum(gains[w].values()) / 3
+        assert math.isclose(values[uid], sum(contrast(w) * (c - by[w] / n) for w, c in Counter(text.split()).items()), abs_tol=1e-4)
+    assert scores
+
+
 def test_stopping_rule():
     loss = np.eye(4)[[0, 0, 0]] * 1.0
     steps = kanon.greedy(np.array([1.0, 0.5, 0.4, 0.3]), 0, loss, 9)
@@ -162,7 +198,7 @@ def test_stopping_rule():
 def test_explain_matches_brute_force(spark):
     rows = documents(spark).where("text <> ''")
     model = scoring.NaiveBayes(documents(spark))
-    found = {(r["uid"], r["word"]): r["score"] for r in scoring.explain(model, model.scores(rows, "uid"), rows, "uid").collect()}
+    found = {(r["uid"], r["word"]): r["score"] for r in scoring.explain(model, rows, "uid").collect()}
     expected = brute_scores()
     by, known = defaultdict(Counter), [d for d in DOCS if d[2]]
     for _, t, n in known:
@@ -182,17 +218,40 @@ def test_similarity_of_equal_and_blank_texts(spark):
 
 def test_perturbation_does_not_depend_on_partitions(spark):
     rows = spark.createDataFrame([(f"d{n}", f"The cat sat on the mat. The dog saw a cat {n}!") for n in range(20)] + [("e", ""), ("n", None)], "uid string, text string")
-    a = dp.rewrite(rows.repartition(1), dp.perturb(rows.repartition(1), "uid", 5.0), "uid")
-    b = dp.rewrite(rows.repartition(7), dp.perturb(rows.repartition(7), "uid", 5.0), "uid")
+    public = rows.select("text")
+    a = dp.rewrite(rows.repartition(1), dp.perturb(rows.repartition(1), "uid", 5.0, public), "uid")
+    b = dp.rewrite(rows.repartition(7), dp.perturb(rows.repartition(7), "uid", 5.0, public.repartition(3)), "uid")
     assert {tuple(r) for r in a.collect()} == {tuple(r) for r in b.collect()}
     text = {r["uid"]: r["text"] for r in a.collect()}
     assert text["e"] == "" and text["d0"].endswith("!") and text["d0"].count(".") == 1
 
 
-def test_candidate_frequencies_follow_the_scores(spark):
-    scored = spark.createDataFrame([("x", "a", 0.0), ("x", "b", math.log(3))], "left string, word string, score double")
-    parts = {r["word"]: r["high"] - r["low"] for r in dp.intervals(scored, 16.0).select("word", "low", "high").distinct().collect()}
-    assert math.isclose(parts["b"] / parts["a"], 3.0)
+def test_draws_follow_the_scores(spark):
+    public = spark.createDataFrame([("x a",)] * 1 + [("x b",)] * 3 + [("x c",)] * 3, "text string")  # levels of log 1 and log 3
+    asked = spark.range(4000).select(F.col("id").cast("string").alias("uid"), F.lit("x").alias("left"))
+    heat = 0.5
+    found = Counter(r["word"] for r in dp.Candidates(public).draw(asked, F.lit(heat), F.col("uid"), 3, "word").collect())
+    weights = {"a": 1.0, "b": math.exp(1.0 / heat), "c": math.exp(1.0 / heat)}  # quarter nats below log 3
+    for word, weight in weights.items():
+        assert abs(found[word] / 4000 - weight / sum(weights.values())) < 0.03
+    unknown = dp.Candidates(public).draw(asked.limit(50).withColumn("left", F.lit("never")), F.lit(heat), F.col("uid"), 3, "word")
+    assert {r["word"] for r in unknown.collect()} <= {"x", "a", "b", "c"}
+    none = dp.Candidates(public.limit(0)).draw(asked.limit(5), F.lit(heat), F.col("uid"), 3, "word")
+    assert {r["word"] for r in none.collect()} == {None}
+
+
+def test_only_sensitive_tokens_are_redrawn_and_budgets_add_up(spark):
+    rows = spark.createDataFrame([("p", "Ana met Bob in Bonn.", [(0, 3), (8, 11)]), ("q", "Ana met Bob.", []), ("n", "One two", None), ("e", "", None), ("z", None, None)], "uid string, text string, spans array<struct<start:int,end:int>>")
+    each = dp.budgets(rows, "uid", 10.0, "spans", F.length("token").cast("double"), 2.0, True).collect()
+    free = {u: [r for r in each if r["uid"] == u and r["free"]] for u in "pqn"}
+    assert sorted(r["token"] for r in free["p"]) == ["Ana", "Bob"] and len(free["q"]) == 3 and len(free["n"]) == 2
+    harmonic = lambda found: len(found) / sum(1 / r["epsilon"] for r in found)
+    assert math.isclose(harmonic(free["p"]), 10.0 * 2 / 5) and math.isclose(harmonic(free["q"]), 10.0)
+    public = spark.createDataFrame([("Cleo saw Dora near Essen",)], "text string")
+    out = {r["uid"]: r for r in dp.rewrite(rows, dp.perturb(rows, "uid", 0.1, public, sensitive="spans", add=1.0), "uid").collect()}
+    assert out["p"]["text"].split()[2] == "met" and out["p"]["n_added"] == 2 and out["p"]["text"].endswith("in Bonn.") and out["e"]["text"] == ""
+    gone = {r["uid"]: r for r in dp.rewrite(rows, dp.perturb(rows, "uid", 0.1, public, delete=1.0), "uid").collect()}
+    assert gone["n"]["n_deleted"] == 1 and gone["n"]["n_tokens"] == 1 and gone["q"]["text"] == "."
 
 
 def test_split_is_exact_and_skew_safe(spark):

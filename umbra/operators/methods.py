@@ -25,17 +25,27 @@ class Capabilities:
     k: bool = False
     dataset: bool = False
     generator: bool = False
+    public: bool = False
 
 
 # What each method takes.
 CAPABILITIES = {
     "spacy": Capabilities(), "presidio": Capabilities(), "baroud": Capabilities(), "manual": Capabilities(dataset=True), "petre": Capabilities(dataset=True, k=True),
-    "dpmlm": Capabilities(epsilon=True), "dpprompt": Capabilities(epsilon=True, generator=True), "dpparaphrase": Capabilities(epsilon=True, generator=True), "dpbart": Capabilities(epsilon=True, generator=True),
+    "dpmlm": Capabilities(epsilon=True, public=True), "dpprompt": Capabilities(epsilon=True, generator=True), "dpparaphrase": Capabilities(epsilon=True, generator=True), "dpbart": Capabilities(epsilon=True, generator=True),
 }
 
 Generator = Callable[[Column, Column], Column]  # prompt, temperature -> text
 
 
+@dataclass(frozen=True)
+class AutoEncoder:
+    """A plug-in for the vector mechanism: text to a vector of ``size`` numbers, and back."""
+
+    encode: Callable[[Column], Column]
+    decode: Callable[[Column], Column]
+    size: int
+
+
 def prompt(text: Column, method: str) -> Column:
     if method == "dpprompt":
         return F.concat(F.lit("Document : "), text, F.lit("\nParaphrase of the document :"))
@@ -62,15 +72,18 @@ def check(method: str, epsilons: list[float] | None, ks: list[int] | None) -> Ca
     return can
 
 
-def anonymise(records: DataFrame, method: str, epsilons: list[float] | None = None, ks: list[int] | None = None, threshold: float = 0.5, generator: Generator | None = None) -> DataFrame:
+def anonymise(records: DataFrame, method: str, epsilons: list[float] | None = None, ks: list[int] | None = None, threshold: float = 0.5, generator: Generator | AutoEncoder | None = None, public: DataFrame | None = None, **options) -> DataFrame:
     """uid, idx, parameter, text, spans: one row for each record and distinct parameter (in the order given).
 
     Blank texts give an empty text.  ``records`` has uid, idx, text and, for methods on a
-    dataset, spans and name.
+    dataset, spans and name.  ``public`` is the corpus (column text) whose counts dpmlm
+    draws from; ``options`` go to ``dp.perturb``.
     """
     can = check(method, epsilons, ks)
-    if can.generator and generator is None:
-        raise NotImplementedError(f"{method} needs a text generator; pass one")
+    if can.generator and not isinstance(generator, AutoEncoder) and (generator is None or method == "dpbart"):
+        raise NotImplementedError(f"{method} needs {'an AutoEncoder' if method == 'dpbart' else 'a text generator'}; pass one")
+    if can.public and public is None:
+        raise ValueError(f"{method} needs a public corpus to draw from")
     blank = F.coalesce(F.trim("text"), F.lit("")) == ""
     none = F.lit(None).cast("double").alias("parameter")
     put = lambda rows, text, spans, parameter=none: rows.select("uid", "idx", parameter, F.when(blank, "").otherwise(text).alias("text"), spans.alias("spans"))
@@ -98,10 +111,14 @@ def anonymise(records: DataFrame, method: str, epsilons: list[float] | None = No
     out = None
     for epsilon in dict.fromkeys(epsilons):
         if method == "dpmlm":
-            rows = dp.rewrite(records, dp.perturb(records, "uid", epsilon), "uid").join(records.select("uid", "idx"), "uid")
+            rows = dp.rewrite(records, dp.perturb(records, "uid", epsilon, public, **options), "uid").join(records.select("uid", "idx"), "uid")
             text = F.col("text")
+        elif method == "dpbart":  # the encoder's state is clipped and gets Gaussian noise before it is decoded
+            rows = records
+            noisy = sampling.noisy_vector(generator.encode(F.col("text")), F.concat_ws(":", "uid", F.lit(str(epsilon))), generator.size, float(epsilon))
+            text = clean(generator.decode(noisy), F.col("text"), method)
         else:
-            clip = {"dpprompt": sampling.PROMPT_CLIP, "dpparaphrase": sampling.PARAPHRASE_CLIP, "dpbart": sampling.TOKEN_CLIP}[method]
+            clip = {"dpprompt": sampling.PROMPT_CLIP, "dpparaphrase": sampling.PARAPHRASE_CLIP}[method]
             rows = records
             text = clean(generator(prompt(F.col("text"), method), sampling.temperature(F.lit(epsilon), clip)), F.col("text"), method)
         part = put(rows, text, F.array().cast("array<struct<start:int,end:int,label:string>>"), F.lit(float(epsilon)).alias("parameter"))

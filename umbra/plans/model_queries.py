@@ -151,14 +151,36 @@ def budget_compensation(spark, folder):
     return counted.select("doc_id", F.col("n").cast("long").alias("n_critical"), F.round(F.coalesce(ratio, F.lit(1.0)), 6).alias("ratio"))
 
 
+def _public(spark, folder):
+    """A corpus other than the protected one: the texts of the court cases."""
+    return spread(table(spark, folder, "tab").where("text IS NOT NULL").select("text").distinct())
+
+
+def dp_candidates(spark, folder):
+    held = dp.Candidates(_public(spark, folder)).levels
+    return held.select("left", F.explode("levels").alias("l")).select("left", "l.level", "l.first", "l.size")
+
+
+def dp_draws(spark, folder):
+    docs = _identities(spark, folder)
+    drawn = dp.Candidates(_public(spark, folder)).draw(dp.budgets(docs, "doc_id", 25.0).where("free"), F.lit(2 * 8.0 / 25.0), F.concat_ws(":", F.col("doc_id").cast("string"), "pos"), 7, "word")
+    return drawn.groupBy("doc_id").agg(F.count("*").alias("n_drawn"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda t: t["word"]), " ")).alias("digest"))
+
+
+def dp_token_budgets(spark, folder):
+    docs = _identities(spark, folder).withColumn("spans", recognise.recognise(F.col("text")))
+    each = dp.budgets(docs, "doc_id", 10.0, "spans", F.length("token").cast("double"), 4.0, True).where("free")
+    return each.groupBy("doc_id").agg(F.count("*").alias("n_free"), F.round(F.min("epsilon"), 6).alias("least"), F.round(F.max("epsilon"), 4).alias("greatest"))
+
+
 def dp_token_sample(spark, folder):
-    return dp.perturb(_identities(spark, folder), "doc_id", 25.0).groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count_if(F.col("token") != F.col("private")).alias("n_perturbed"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "private"))), lambda t: t["private"]), " ")).alias("digest"))
+    return dp.perturb(_identities(spark, folder), "doc_id", 25.0, _public(spark, folder)).groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count_if(F.col("token") != F.col("private")).alias("n_perturbed"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "private"))), lambda t: t["private"]), " ")).alias("digest"))
 
 
 def dp_rewrite(spark, folder):
     docs = _identities(spark, folder)
-    out = dp.rewrite(docs, dp.perturb(docs, "doc_id", 25.0), "doc_id")
-    return out.select("doc_id", F.md5("text").alias("digest"), "n_tokens", "n_perturbed")
+    out = dp.rewrite(docs, dp.perturb(docs, "doc_id", 25.0, _public(spark, folder), add=0.05, delete=0.05), "doc_id")
+    return out.select("doc_id", F.md5("text").alias("digest"), "n_tokens", "n_perturbed", "n_added", "n_deleted")
 
 
 def gaussian_scale(spark, folder):
@@ -242,7 +264,7 @@ def batch_stream_equal(spark, folder):
     return pipelines.redacted(spark, folder).select("doc_id", F.md5("masked").alias("digest"), "n_spans")
 
 
-QUERIES = {f.__name__: f for f in (label_dictionary, label_mapping_check, label_parse, nb_scores, reid_ranks, rank_deltas, rank_delta_summary, reid_accuracy, individual_accuracy, reid_top_k, prob_max_merge, prob_mean_merge, score_average, greedy_explain, petre_trace, petre_grid, uniform_budget, weighted_budget, budget_compensation, dp_token_sample, dp_rewrite, gaussian_scale, tfidf_cosine, overlap_f1, divergence_summary, macro_divergence, utility_labels, stratified_split, macro_f1, utility_drops, utility_regression, pii_prf, pii_matches, char_prf, batch_stream_equal)}
+QUERIES = {f.__name__: f for f in (label_dictionary, label_mapping_check, label_parse, nb_scores, reid_ranks, rank_deltas, rank_delta_summary, reid_accuracy, individual_accuracy, reid_top_k, prob_max_merge, prob_mean_merge, score_average, greedy_explain, petre_trace, petre_grid, uniform_budget, weighted_budget, budget_compensation, dp_candidates, dp_draws, dp_token_budgets, dp_token_sample, dp_rewrite, gaussian_scale, tfidf_cosine, overlap_f1, divergence_summary, macro_divergence, utility_labels, stratified_split, macro_f1, utility_drops, utility_regression, pii_prf, pii_matches, char_prf, batch_stream_equal)}
 
 _ID = "idn AS (SELECT doc_id, text, lower(trim(source, ' ')) AS name, category FROM documents WHERE text IS NOT NULL AND source IS NOT NULL)"
 _ORIGINAL = "ow AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS word FROM idn) GROUP BY doc_id, word)"
@@ -293,6 +315,16 @@ def _tags(side: str) -> str:
     {side}t AS (SELECT uid, pos, max_by(CASE WHEN pos = start THEN 'B-' ELSE 'I-' END || label, rank) AS tag FROM {side}c GROUP BY uid, pos)"""
 
 
+# tokens of the private and the public texts with their neighbours, and the numbered candidates
+_MARKS = "!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~"
+_UNIFORM = "('0x' || substr(md5(doc_id || ':' || pos || '|{0}'), 1, 8))::BIGINT / 4294967296.0"
+_TOKENS = "SELECT {0} AS doc_id, unnest(t) AS token, unnest(range(len(t))) AS pos, unnest(list_prepend('', list_transform(t[1:len(t) - 1], lambda x: lower(x)))) AS \"left\" FROM (SELECT *, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]') AS t FROM {1}) WHERE len(t) > 0"
+_DP = f"""WITH {_ID}, pb AS (SELECT DISTINCT text FROM tab WHERE text IS NOT NULL),
+    it AS ({_TOKENS.format('doc_id', 'idn')}), pt AS ({_TOKENS.format('0', 'pb')}),
+    ct AS (SELECT \"left\", lower(token) AS word, count(*) AS n FROM pt WHERE instr('{_MARKS}', token) = 0 GROUP BY \"left\", lower(token)),
+    al AS (SELECT * FROM ct UNION ALL SELECT '*', word, sum(n) FROM ct GROUP BY word),
+    lv AS (SELECT \"left\", word, floor(greatest(least(ln(n), 8.0), 0.0) / 0.25 + 1e-9)::INT AS level FROM al),
+    pl AS (SELECT *, row_number() OVER (ORDER BY \"left\", level, word) - 1 AS place FROM lv)"""
 _PRF = "round(coalesce({0} / nullif({1}, 0), 0), 6)"
 _F1 = "round(coalesce(2 * ({0} / nullif({1}, 0)) * ({0} / nullif({2}, 0)) / nullif({0} / nullif({1}, 0) + {0} / nullif({2}, 0), 0), 0), 6)"
 
@@ -321,6 +353,18 @@ SQL = {
         SELECT idn.doc_id, CASE WHEN EXISTS (SELECT 1 FROM o WHERE o.doc_id = idn.doc_id) THEN coalesce(hits, 0) ELSE coalesce(free, 0) END AS n_critical,
                round(coalesce(greatest(CASE WHEN EXISTS (SELECT 1 FROM o WHERE o.doc_id = idn.doc_id) THEN hits ELSE free END / nullif(free, 0)::DOUBLE, 1e-6), 1.0), 6) AS ratio
         FROM idn LEFT JOIN k USING (doc_id)""",
+    "greedy_explain": f"""{_SCORED}, zz AS (SELECT s.doc_id, b.label AS target, b.score AS top, sum(exp(s.score - b.score)) AS z FROM s JOIN s_top USING (doc_id) GROUP BY s.doc_id, b),
+        mk AS (SELECT ow.doc_id, ow.word, s.label, s.score - lb.unseen - ln(coalesce(bl.c, 0) + 1.0) AS m FROM ow JOIN s USING (doc_id) JOIN lb ON lb.label = s.label LEFT JOIN bl ON bl.label = s.label AND bl.word = ow.word),
+        tp AS (SELECT doc_id, word, max(m) AS m0 FROM mk GROUP BY doc_id, word),
+        ch AS (SELECT mk.doc_id, mk.word, sum(CASE WHEN mk.label = zz.target THEN exp(mk.m - tp.m0) ELSE 0 END) / sum(exp(mk.m - tp.m0)) AS p, 1 / any_value(zz.z) AS p0 FROM mk JOIN tp USING (doc_id, word) JOIN zz USING (doc_id) GROUP BY mk.doc_id, mk.word)
+        SELECT doc_id, count(*) AS n_words, round(max(round(p0 - p, 9)), 6) AS score FROM ch GROUP BY doc_id""",
+    "dp_candidates": f"{_DP} SELECT \"left\", level, min(place) AS first, count(*) AS size FROM pl GROUP BY \"left\", level",
+    "dp_draws": f"""{_DP}, gr AS (SELECT \"left\", level, min(place) AS first, count(*) AS size FROM pl GROUP BY \"left\", level),
+        fr AS (SELECT doc_id, pos, CASE WHEN \"left\" IN (SELECT \"left\" FROM gr) THEN \"left\" ELSE '*' END AS \"left\", {_UNIFORM.format(7)} AS u, {_UNIFORM.format(8)} AS v FROM it WHERE instr('{_MARKS}', token) = 0),
+        wt AS (SELECT \"left\", level, first, size, size * exp((level - max(level) OVER (PARTITION BY \"left\")) * 0.25 / (16.0 / 25.0)) AS w FROM gr),
+        up AS (SELECT *, sum(w) OVER (PARTITION BY \"left\" ORDER BY level) AS upto, sum(w) OVER (PARTITION BY \"left\") AS total FROM wt),
+        pk AS (SELECT fr.doc_id, fr.pos, min_by(up.first + least(floor(fr.v * up.size), up.size - 1), up.level) AS place FROM fr JOIN up ON fr.\"left\" = up.\"left\" AND up.upto > fr.u * up.total GROUP BY fr.doc_id, fr.pos)
+        SELECT pk.doc_id, count(*) AS n_drawn, md5(string_agg(word, ' ' ORDER BY pos)) AS digest FROM pk JOIN pl ON pl.place = pk.place GROUP BY pk.doc_id""",
     "tfidf_cosine": f"{_COSINE} SELECT doc_id, similarity FROM cs",
     "overlap_f1": f"{_COSINE} SELECT doc_id, round(2 * sum(least(a, b)) / (sum(a) + sum(b)), 6) AS f1 FROM pv GROUP BY doc_id",
     "divergence_summary": f"{_COSINE} SELECT category, {_SUMMARY.format('divergence')} FROM dv GROUP BY category",
