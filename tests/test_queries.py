@@ -12,7 +12,6 @@ import pytest
 
 from umbra.plans.queries import QUERIES, SQL
 
-SLOW = {"utility_drops", "utility_regression"}
 
 
 def plain(value):
@@ -34,7 +33,7 @@ def tables(folder):
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, folder, tables, name):
     frame = QUERIES[name](spark, folder)
     columns = sorted(frame.columns)

@@ -15,6 +15,7 @@ from pyspark.sql import types as ST
 
 SENTENCE = r"(?s)(.*?[.!?]+\s+|.+$)"
 _TOKEN = re.compile(r"\w+|[^\w \t\n\r\f]")
+_STRETCH = re.compile(r"[^ \t\n\r\f\v]+")
 WORD = r"[\p{L}\p{N}_]{2,}"
 # ASCII punctuation, and the characters a token keeps when it is tested against the ignore set.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -62,6 +63,12 @@ def tokens(texts: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else [{"start": m.start(), "end": m.end(), "text": m.group()} for m in _TOKEN.finditer(t)] for t in texts])
 
 
+@F.pandas_udf(ST.ArrayType(_SPAN))
+def blank_tokens(texts: pd.Series) -> pd.Series:
+    """Stretches between blanks with their offsets."""
+    return pd.Series([None if t is None else [{"start": m.start(), "end": m.end(), "text": m.group()} for m in _STRETCH.finditer(t)] for t in texts])
+
+
 def words(text: Column) -> Column:
     """array<string> of words of two characters or more, in small letters."""
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))

@@ -44,6 +44,22 @@ def stats(records: DataFrame) -> DataFrame:
     )
 
 
+def by_indices(records: DataFrame, indices: list[int], key: str = "idx") -> DataFrame:
+    """The records of the given indices; ValueError names one that is not among them."""
+    wanted = records.sparkSession.createDataFrame([(int(i),) for i in dict.fromkeys(indices)], f"{key} long")
+    missing = wanted.join(records.select(key), key, "left_anti").agg(F.min(key).alias("i")).first()["i"]
+    if missing is not None:
+        raise ValueError(f"index {missing} is out of range")
+    return records.join(wanted, key, "left_semi")
+
+
+def with_index(records: DataFrame, order: list[str], metadata: str = "metadata") -> DataFrame:
+    """The records with ``index``: their metadata's record_index, or else their place in the order, from 1."""
+    placed = numbered(records, order, "_place")
+    given = F.expr(f"try_cast({metadata}['record_index'] AS long)") if metadata in records.columns else F.lit(None).cast("long")
+    return placed.withColumn("index", F.coalesce(given, F.col("_place") + 1)).drop("_place")
+
+
 def numbered(rows: DataFrame, order: list[str], name: str = "idx") -> DataFrame:
     """The rows numbered from 0 in the given order, without bringing them into one task.
 

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbra.functions import text as T
@@ -116,6 +116,18 @@ class NaiveBayes:
         )
         self._blocks: list | None = None
 
+    def save(self, folder: str) -> None:
+        """Writes the counts and the labels."""
+        self.by_label.write.mode("overwrite").parquet(f"{folder}/counts")
+        self.labels.write.mode("overwrite").parquet(f"{folder}/labels")
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> "NaiveBayes":
+        """A model that ``save`` wrote."""
+        made = cls.__new__(cls)
+        made.by_label, made.labels, made._blocks = spark.read.parquet(f"{folder}/counts"), spark.read.parquet(f"{folder}/labels"), None
+        return made
+
     def blocks(self) -> list:
         """Broadcasts of the blocks; labels in order, as many to a block as fit."""
         if self._blocks is None:

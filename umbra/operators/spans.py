@@ -46,6 +46,33 @@ def char_labels(records: DataFrame, id_col: str = "uid") -> DataFrame:
     return marked.groupBy(id_col, "pos").agg(last).select(id_col, "pos", "last.tag")
 
 
+def token_labels(records: DataFrame, id_col: str = "uid") -> DataFrame:
+    """id_col, pos, token, tag of every token between blanks: the tag of the first span in order that overlaps it.
+
+    B- on the first token of a span, I- on the others, O where no span overlaps; labels as
+    in ``char_labels``.
+    """
+    rows = records.select(id_col, F.coalesce(S.by_start(F.col("spans")), F.array()).alias("s"), T.blank_tokens(F.col("text")).alias("t"))
+    label = lambda s: F.coalesce(F.nullif(F.regexp_replace(s["span"]["label"], "^[BI]-", ""), F.lit("")), F.lit("ENTITY"))
+    tag = lambda t: F.when(F.size(F.filter("s", lambda s: S.overlaps(s["start"], s["end"], t["start"], t["end"]))) == 0, "O").otherwise(_first_tag(t, label))
+    tagged = F.transform("t", lambda t: F.struct(t["text"].alias("token"), tag(t).alias("tag")))
+    return rows.select(id_col, F.posexplode(tagged).alias("pos", "p")).select(id_col, "pos", "p.token", "p.tag")
+
+
+def _first_tag(token, label):
+    met = F.filter("s", lambda s: S.overlaps(s["start"], s["end"], token["start"], token["end"]))[0]
+    earlier = F.exists("t", lambda other: (other["end"] <= token["start"]) & S.overlaps(met["start"], met["end"], other["start"], other["end"]))
+    return F.concat(F.when(earlier, "I-").otherwise("B-"), label(met))
+
+
+def ignore_set(spark, stop_words: list[str], masks: list[str], labels: DataFrame | None = None) -> DataFrame:
+    """term: stop words, masks and (of a detector's runs) annotation labels, each as it is and in small letters."""
+    held = spark.createDataFrame([(w,) for w in [*stop_words, *masks]], "term string")
+    if labels is not None:
+        held = held.unionByName(labels.select(F.col("label").alias("term")).where("label IS NOT NULL").distinct())
+    return held.select(F.explode(F.array("term", F.lower("term"))).alias("term")).distinct()
+
+
 def label_set(records: DataFrame) -> DataFrame:
     """One row: O and the B- and I- tags of every label, sorted."""
     labels = records.select(F.explode("spans.label").alias("label")).where("label IS NOT NULL").select(F.regexp_replace("label", "^[BI]-", "").alias("label")).distinct()
@@ -71,6 +98,13 @@ def merge_sources(sources: list[DataFrame]) -> DataFrame:
     return both.groupBy("uid").agg(ordered.alias("s")).select("uid", F.col("s.span").alias("spans"))
 
 
+def merge_by(rows: DataFrame, source: str, order: str, id_col: str = "uid") -> DataFrame:
+    """id_col and spans of all sources of one annotation table, appended in order of the source, then of ``order``."""
+    rest = [c for c in rows.columns if c not in (id_col, source, order)]
+    ordered = F.array_sort(F.collect_list(F.struct(source, order, *rest)))
+    return rows.groupBy(id_col).agg(ordered.alias("spans"))
+
+
 def named_sources(paths: DataFrame) -> DataFrame:
     """path, name: ``{method}_{dataset}_{n}`` from the two folders above a file, numbered by path; each path once."""
     from pyspark.sql import Window

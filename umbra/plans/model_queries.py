@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from umbra.functions import sampling
 from umbra.functions import text as T
 from umbra.functions import vectors as V
-from umbra.operators import detection, dp, kanon, recognise, records, scoring, similarity, utility
+from umbra.operators import detection, dp, kanon, nested, recognise, records, scoring, similarity, utility
 from umbra.operators import spans as OS
-from umbra.plans import span_queries, text_queries
+from umbra.plans import nested_queries, span_queries, text_queries
 from umbra.session import spread
 from umbra.sources.tables import table
 from umbra.streaming import pipelines
@@ -217,6 +217,25 @@ def utility_labels(spark, folder):
     return rows.select("uid", utility.number_target(value("stars")).alias("stars"), utility.text_target(value("category")).alias("category"), utility.text_target(value("feature")).alias("feature"))
 
 
+def reddit_targets(spark, folder):
+    """The six targets of question and answer pairs."""
+    rows = table(spark, folder, "reddit").where("post_id IS NOT NULL").groupBy("post_id").agg(F.max(F.struct("loaded_at", "label", "feature", "personality")).alias("r"))
+    raw = {"reddit_feature": F.col("r.feature"), "reddit_label": F.col("r.label"), "reddit_age": F.col("r.personality.age"), "reddit_age_group": F.col("r.personality.age"), "reddit_sex": F.col("r.personality.sex"), "reddit_income_level": F.col("r.personality.income_level")}
+    return rows.select("post_id", *[utility.target(name, value).alias(name.removeprefix("reddit_")) for name, value in raw.items()])
+
+
+def tab_targets(spark, folder):
+    """Country and first numeric year of court cases."""
+    tables = nested.case_tables(table(spark, folder, "tab"))
+    gather = lambda name, value: tables[name].groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", value))), lambda x: x[value].cast("string")).alias(value))
+    met = gather("countries", "country").join(gather("years", "year"), "doc_id", "full")
+    return met.select("doc_id", utility.target("tab_country", F.col("country"), True).alias("country"), utility.target("tab_year", F.col("year"), True).alias("year"))
+
+
+def utility_perceptron(spark, folder):
+    docs = recognise.redact(_identities(spark, folder)).withColumn("size", F.length("text").cast("double"))
+    return utility.Experiment(docs.select("doc_id", "text", "masked", "size"), "doc_id", "size", "perceptron_regressor", 2_000).drops("masked")
+
 def stratified_split(spark, folder):
     return utility.split(_identities(spark, folder).select("doc_id", "category"), "doc_id", "category", 0.25).select("doc_id", "category", "is_test")
 
@@ -229,20 +248,25 @@ def macro_f1(spark, folder):
 
 def utility_drops(spark, folder):
     docs = recognise.redact(_identities(spark, folder))
-    return utility.Experiment(docs.select("doc_id", "text", "masked", "category"), "doc_id", "category", "logistic", 1024).drops("masked")
+    return utility.Experiment(docs.select("doc_id", "text", "masked", "category"), "doc_id", "category", "logistic").drops("masked")
 
 
 def utility_regression(spark, folder):
     docs = recognise.redact(_identities(spark, folder)).withColumn("size", F.length("text").cast("double"))
-    return utility.Experiment(docs.select("doc_id", "text", "masked", "size"), "doc_id", "size", "linear", 1024).drops("masked")
+    return utility.Experiment(docs.select("doc_id", "text", "masked", "size"), "doc_id", "size", "linear").drops("masked")
 
 
 def _two(spark, folder):
+    """Marks of each annotator of a record against those of its first annotator; uid names record and annotator, doc the record."""
     marks = records.annotations_once(table(spark, folder, "text_annotation")).where("start IS NOT NULL AND `end` > start AND label IS NOT NULL")
-    of = lambda name: marks.where(F.col("annotator") == name).select("uid", "start", "end", "label").distinct()
-    a, b = of("annotator4"), of("annotator1")
-    both = a.select("uid").distinct().join(b.select("uid").distinct(), "uid")
-    return a.join(both, "uid", "left_semi"), b.join(both, "uid", "left_semi")
+    marks = marks.where("annotator IS NOT NULL").select("uid", "annotator", "start", "end", "label").distinct()
+    givers = marks.groupBy("uid").agg(F.min("annotator").alias("first"), F.array_distinct(F.collect_set("annotator")).alias("all")).where("size(all) > 1")
+    others = givers.select("uid", "first", F.explode(F.array_except("all", F.array("first"))).alias("other"))
+    key = lambda who: F.concat_ws("|", "uid", who).alias("uid")
+    gold = marks.join(others, (marks["uid"] == others["uid"]) & (marks["annotator"] == others["first"])).drop(others["uid"])
+    found = marks.join(others, (marks["uid"] == others["uid"]) & (marks["annotator"] == others["other"])).drop(others["uid"])
+    shown = lambda rows: rows.select(key("other"), F.col("uid").alias("doc"), "start", "end", "label")
+    return shown(gold), shown(found)
 
 
 def pii_prf(spark, folder):
@@ -255,7 +279,8 @@ def pii_matches(spark, folder):
 
 def char_prf(spark, folder):
     texts = records.once(table(spark, folder, "dataset_record"))
-    tag = lambda rows: OS.char_labels(texts.join(rows.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "end", "label"))).alias("spans")), "uid"))
+    texts = texts.select(F.col("uid").alias("doc"), "text")
+    tag = lambda rows: OS.char_labels(texts.join(rows.groupBy("uid", "doc").agg(F.array_sort(F.collect_list(F.struct("start", "end", "label"))).alias("spans")), "doc"))
     a, b = _two(spark, folder)
     return detection.char_prf(tag(a), tag(b))
 
@@ -264,7 +289,7 @@ def batch_stream_equal(spark, folder):
     return pipelines.redacted(spark, folder).select("doc_id", F.md5("masked").alias("digest"), "n_spans")
 
 
-QUERIES = {f.__name__: f for f in (label_dictionary, label_mapping_check, label_parse, nb_scores, reid_ranks, rank_deltas, rank_delta_summary, reid_accuracy, individual_accuracy, reid_top_k, prob_max_merge, prob_mean_merge, score_average, greedy_explain, petre_trace, petre_grid, uniform_budget, weighted_budget, budget_compensation, dp_candidates, dp_draws, dp_token_budgets, dp_token_sample, dp_rewrite, gaussian_scale, tfidf_cosine, overlap_f1, divergence_summary, macro_divergence, utility_labels, stratified_split, macro_f1, utility_drops, utility_regression, pii_prf, pii_matches, char_prf, batch_stream_equal)}
+QUERIES = {f.__name__: f for f in (label_dictionary, label_mapping_check, label_parse, nb_scores, reid_ranks, rank_deltas, rank_delta_summary, reid_accuracy, individual_accuracy, reid_top_k, prob_max_merge, prob_mean_merge, score_average, greedy_explain, petre_trace, petre_grid, uniform_budget, weighted_budget, budget_compensation, dp_candidates, dp_draws, dp_token_budgets, dp_token_sample, dp_rewrite, gaussian_scale, tfidf_cosine, overlap_f1, divergence_summary, macro_divergence, utility_labels, reddit_targets, tab_targets, utility_perceptron, stratified_split, macro_f1, utility_drops, utility_regression, pii_prf, pii_matches, char_prf, batch_stream_equal)}
 
 _ID = "idn AS (SELECT doc_id, text, lower(trim(source, ' ')) AS name, category FROM documents WHERE text IS NOT NULL AND source IS NOT NULL)"
 _ORIGINAL = "ow AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS word FROM idn) GROUP BY doc_id, word)"
@@ -298,10 +323,10 @@ _COSINE = f"""WITH {_ID}, {_ORIGINAL}, {_REWRITTEN},
     dv AS (SELECT category, round(1 - similarity, 6) AS divergence FROM cs)"""
 _WORDS = f"WITH {_ID}, w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w FROM idn)"
 _TWO = f"""{span_queries.WITH},
-    mk AS (SELECT DISTINCT uid, annotator, start, "end", label FROM ann WHERE start IS NOT NULL AND "end" > start AND label IS NOT NULL AND annotator IN ('annotator1', 'annotator4')),
-    bu AS (SELECT uid FROM mk GROUP BY uid HAVING count(DISTINCT annotator) = 2),
-    g AS (SELECT * FROM mk WHERE annotator = 'annotator4' AND uid IN (SELECT uid FROM bu)),
-    f AS (SELECT * FROM mk WHERE annotator = 'annotator1' AND uid IN (SELECT uid FROM bu)),
+    mk AS (SELECT DISTINCT uid, annotator, start, "end", label FROM ann WHERE start IS NOT NULL AND "end" > start AND label IS NOT NULL AND annotator IS NOT NULL),
+    bu AS (SELECT DISTINCT uid, annotator AS other, first FROM mk JOIN (SELECT uid, min(annotator) AS first FROM mk GROUP BY uid) USING (uid) WHERE annotator <> first),
+    g AS (SELECT mk.uid || '|' || other AS uid, mk.uid AS doc, start, "end", label FROM mk JOIN bu ON mk.uid = bu.uid AND mk.annotator = bu.first),
+    f AS (SELECT mk.uid || '|' || other AS uid, mk.uid AS doc, start, "end", label FROM mk JOIN bu ON mk.uid = bu.uid AND mk.annotator = bu.other),
     best AS (SELECT f.uid, f.start, f."end", f.label, max(CASE WHEN g.uid IS NULL THEN 0 WHEN f.start = g.start AND f."end" = g."end" AND f.label = g.label THEN 3 WHEN f.start = g.start AND f."end" = g."end" THEN 2 ELSE 1 END) AS o
              FROM f LEFT JOIN g ON f.uid = g.uid AND f.start < g."end" AND f."end" > g.start GROUP BY f.uid, f.start, f."end", f.label),
     oc AS (SELECT label, ['spurious', 'partial', 'typed', 'correct'][o + 1] AS outcome FROM best
@@ -310,7 +335,7 @@ _TWO = f"""{span_queries.WITH},
 
 def _tags(side: str) -> str:
     return f"""
-    {side}k AS (SELECT {side}.uid, row_number() OVER (PARTITION BY {side}.uid ORDER BY start, "end", label) AS rank, start, least("end", length(rec.text)) AS stop, regexp_replace(label, '^[BI]-', '') AS label, length(rec.text) AS n FROM {side} JOIN rec USING (uid)),
+    {side}k AS (SELECT {side}.uid, row_number() OVER (PARTITION BY {side}.uid ORDER BY start, "end", label) AS rank, start, least("end", length(rec.text)) AS stop, regexp_replace(label, '^[BI]-', '') AS label, length(rec.text) AS n FROM {side} JOIN rec ON rec.uid = {side}.doc),
     {side}c AS (SELECT uid, rank, start, label, unnest(range(start, stop)) AS pos FROM {side}k WHERE start >= 0 AND start < n AND start < stop),
     {side}t AS (SELECT uid, pos, max_by(CASE WHEN pos = start THEN 'B-' ELSE 'I-' END || label, rank) AS tag FROM {side}c GROUP BY uid, pos)"""
 
@@ -373,6 +398,18 @@ SQL = {
         WITH r AS (SELECT uid, max_by(metadata, loaded_at) AS m FROM dataset_record GROUP BY uid)
         SELECT uid, try_cast(nullif(regexp_extract(m['stars'], '^\\s*([0-9]+(\\.[0-9]+)?)\\s*$', 1), '') AS DOUBLE) AS stars, nullif(trim(m['category']), '') AS category, nullif(trim(m['feature']), '') AS feature FROM r
     """.replace("\\\\", "\\"),
+    "reddit_targets": r"""
+        WITH r AS (SELECT post_id, max(struct_pack(t := loaded_at, label := label, feature := feature, p := personality)) AS r FROM reddit WHERE post_id IS NOT NULL GROUP BY post_id)
+        SELECT post_id, nullif(trim(r.feature), '') AS feature, nullif(trim(r.label), '') AS label, r.p.age::DOUBLE AS age,
+               CASE WHEN r.p.age < 18 THEN 'under_18' WHEN r.p.age < 25 THEN '18_24' WHEN r.p.age < 35 THEN '25_34' WHEN r.p.age < 45 THEN '35_44' WHEN r.p.age < 55 THEN '45_54' WHEN r.p.age < 65 THEN '55_64' WHEN r.p.age IS NOT NULL THEN '65_plus' END AS age_group,
+               nullif(trim(r.p.sex), '') AS sex, nullif(trim(r.p.income_level), '') AS income_level FROM r
+    """,
+    "tab_targets": nested_queries._LATEST + r"""
+        , c AS (SELECT doc_id, min_by(trim(json_extract_string(x, '$')), pos) AS country FROM value WHERE child = 'country' AND json_type(x) <> 'NULL' AND trim(json_extract_string(x, '$')) <> '' GROUP BY doc_id),
+        y AS (SELECT doc_id, min_by(try_cast(json_extract_string(x, '$') AS INT), pos)::DOUBLE AS year FROM value WHERE child = 'year' AND json_type(x) <> 'NULL' AND try_cast(json_extract_string(x, '$') AS INT) IS NOT NULL GROUP BY doc_id),
+        d AS (SELECT DISTINCT doc_id FROM value WHERE json_type(x) <> 'NULL')
+        SELECT doc_id, country, year FROM d LEFT JOIN c USING (doc_id) LEFT JOIN y USING (doc_id)
+    """,
     "stratified_split": f"""WITH {_ID}, h AS (SELECT doc_id, category, row_number() OVER (PARTITION BY category ORDER BY md5(doc_id || '|42'), doc_id) AS k, count(*) OVER (PARTITION BY category) AS n FROM idn)
         SELECT doc_id, category, k <= CASE WHEN n < 2 THEN 0 ELSE least(greatest(round_even(n * 0.25, 0), 1), n - 1) END AS is_test FROM h""",
     "macro_f1": f"""{_SCORED}, p AS (SELECT name AS label, b.label AS predicted FROM s_top JOIN idn USING (doc_id)),

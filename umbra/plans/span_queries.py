@@ -96,8 +96,7 @@ def candidate_tokens(spark, folder):
 
 def all_instances(spark, folder):
     _, spans, tokens = _parts(spark, folder)
-    picked = tokens.where(F.length("text") > 3)
-    return OS.all_instances(picked, tokens, spans).groupBy("uid", "text").agg(F.count("*").alias("n"))
+    return OS.all_instances(tokens, tokens, spans).groupBy("uid", "text").agg(F.count("*").alias("n"))
 
 
 def term_index(spark, folder):
@@ -125,8 +124,7 @@ def last_wins(spark, folder):
 
 def merged_annotations(spark, folder):
     marks = R.annotations_once(table(spark, folder, "text_annotation")).where("start IS NOT NULL AND `end` IS NOT NULL AND annotator IS NOT NULL")
-    of = lambda name: marks.where(F.col("annotator") == name).groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("ann_id", "start", "end"))).alias("spans"))
-    merged = OS.merge_sources([of("annotator1"), of("annotator2")])
+    merged = OS.merge_by(marks.select("uid", "annotator", "ann_id", "start", "end"), "annotator", "ann_id")
     return merged.select("uid", F.posexplode("spans").alias("n", "s")).select("uid", "n", "s.ann_id")
 
 
@@ -225,7 +223,7 @@ SQL = {
         FROM t JOIN sp s ON s.uid = t.uid AND {_OVER} WHERE s.start >= 0 AND s.start < s."end" AND s."end" <= length(s.doc) GROUP BY t.uid, t.sentence""",
     "token_map": f"{WITH}, {_TOKENS} SELECT s.ann_id, min(t.pos)::INT AS first, max(t.pos)::INT AS last, count(*) AS n FROM vs s JOIN tok t ON t.uid = s.uid AND {_OVER} GROUP BY s.ann_id",
     "candidate_tokens": f"{WITH}, {_TOKENS} SELECT uid, count(*) AS n, sum(pos)::BIGINT AS positions FROM tok t WHERE NOT EXISTS (SELECT 1 FROM vs s WHERE s.uid = t.uid AND {_OVER}) GROUP BY uid",
-    "all_instances": f"{WITH}, {_TOKENS} SELECT uid, text, count(*) AS n FROM tok t WHERE length(text) > 3 AND NOT EXISTS (SELECT 1 FROM vs s WHERE s.uid = t.uid AND {_OVER}) GROUP BY uid, text",
+    "all_instances": f"{WITH}, {_TOKENS} SELECT uid, text, count(*) AS n FROM tok t WHERE NOT EXISTS (SELECT 1 FROM vs s WHERE s.uid = t.uid AND {_OVER}) GROUP BY uid, text",
     "term_index": f"{WITH}, {_TOKENS} SELECT uid, text AS term, '[' || string_agg(pos::VARCHAR, ',' ORDER BY pos) || ']' AS positions FROM tok GROUP BY uid, text",
     "bio_labels": f"""{WITH},
         k AS (SELECT uid, row_number() OVER (PARTITION BY uid ORDER BY start, ann_id) AS rank, start, least("end", length(doc)) AS stop, coalesce(nullif(regexp_replace(label, '^[BI]-', ''), ''), 'ENTITY') AS label, length(doc) AS n FROM sp),
@@ -237,7 +235,13 @@ SQL = {
         WITH l AS (SELECT idx, max_by(md5(text), loaded_at) AS text FROM dataset_record WHERE text IS NOT NULL AND idx >= 0 GROUP BY idx)
         SELECT r.idx, l.text FROM (SELECT unnest(range((SELECT max(idx) + 1 FROM l))) AS idx) r LEFT JOIN l USING (idx)
     """,
-    "merged_annotations": f"{WITH} SELECT uid, (row_number() OVER (PARTITION BY uid ORDER BY annotator, ann_id) - 1)::INT AS n, ann_id FROM ann WHERE start IS NOT NULL AND \"end\" IS NOT NULL AND annotator IN ('annotator1', 'annotator2')",
+    "merged_annotations": f"{WITH} SELECT uid, (row_number() OVER (PARTITION BY uid ORDER BY annotator, ann_id) - 1)::INT AS n, ann_id FROM ann WHERE start IS NOT NULL AND \"end\" IS NOT NULL AND annotator IS NOT NULL",
+    "span_merge": f"""{WITH},
+        k AS (SELECT uid, row_number() OVER (PARTITION BY uid ORDER BY start, ann_id) AS k, start, "end", label, confidence FROM sp WHERE start >= 0 AND start < "end" AND "end" <= length(doc)),
+        r AS (SELECT uid, k, 0 AS n, start, "end", label, confidence FROM k WHERE k = 1
+              UNION ALL SELECT k.uid, k.k, CASE WHEN j THEN r.n ELSE r.n + 1 END, CASE WHEN j THEN r.start ELSE k.start END, CASE WHEN j THEN greatest(r."end", k."end") ELSE k."end" END, CASE WHEN j THEN r.label ELSE k.label END, CASE WHEN j THEN r.confidence ELSE k.confidence END
+              FROM r JOIN k ON k.uid = r.uid AND k.k = r.k + 1, LATERAL (SELECT k.start <= r."end" AND k.label IS NOT DISTINCT FROM r.label AS j))
+        SELECT uid, n::INT AS n, max_by(start, k) AS start, max_by("end", k) AS "end", max_by(struct_pack(v := label), k).v AS label, max_by(struct_pack(v := confidence), k).v AS confidence FROM r GROUP BY uid, n""",
     "source_naming": f"WITH {_PATHS} SELECT path, split_part(path, '/', 3) || '_' || split_part(path, '/', 2) || '_' || (row_number() OVER (PARTITION BY split_part(path, '/', 3), split_part(path, '/', 2) ORDER BY path) - 1) AS name FROM p",
     "latest_per_model": f"WITH {_PATHS} SELECT split_part(path, '/', 3) AS model, max(path) AS path FROM p GROUP BY 1",
 }

@@ -29,14 +29,17 @@ def local_session(cpus: int | str = 8, memory: str = "12g", partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints.
 
-    The folder named by ``spark.checkpoint.dir`` wins.  Only where neither that
-    setting nor a context folder exists (tests, notebooks) a temporary one is made.
+    The folder named by ``spark.checkpoint.dir`` wins.  Only where neither that setting
+    nor a context folder exists and the session runs on one machine (tests, notebooks) a
+    temporary one is made; on a cluster that is an error, for executors share no local folder.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None)
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not named and not context.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = named or tempfile.mkdtemp(prefix="umbra-checkpoint-")
     context.setCheckpointDir(folder)
     return folder

@@ -24,10 +24,6 @@ REDDIT = f"response string, personality struct<{PERSONALITY.replace(', ', ',').r
 SPANS = "array<struct<start:int,end:int,label:string,text:string,replacement:string,confidence:double,annotator:string,metadata:map<string,string>>>"
 
 
-class BadLine(ValueError):
-    """A line of a file is no valid JSON."""
-
-
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """line (from 1), idx (from 0, blank lines not counted) and value of each line that is not blank.
 
@@ -44,13 +40,13 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """line, place and the fields of each line; BadLine names the first line that is no JSON."""
+    """line, place and the fields of each line; reading a line that is no JSON fails with its number."""
     if not path.endswith((".jsonl", ".json")):
         raise ValueError(f"unsupported file format: {path}")
-    lines = numbered_lines(spark, path)
-    bad = lines.where(F.expr("try_parse_json(value) IS NULL")).agg(F.min("line").alias("line")).first()["line"]
-    if bad is not None:
-        raise BadLine(f"invalid JSON in {path}, line {bad}")
+    # tested where the lines are used, in the same pass; raise_error carries the line number
+    message = F.concat(F.lit(f"invalid JSON in {path}, line "), F.col("line").cast("string"))
+    checked = F.when(F.expr("try_parse_json(value)").isNull(), F.raise_error(message).cast("string")).otherwise(F.col("value"))
+    lines = numbered_lines(spark, path).withColumn("value", checked)
     return lines.select("line", F.col("idx").alias("place"), F.from_json("value", schema).alias("r")).select("line", "place", "r.*")
 
 
@@ -77,18 +73,35 @@ def read_trustpilot(spark: SparkSession, path: str, max_records: int | None = No
     return _limit(rows.select("idx", uid.alias("uid"), uid.alias("name"), T.recode(F.col("review")).alias("text"), "category", "stars", "title", "company"), max_records)
 
 
+def _arrow_batches(path: str):
+    """Record batches of an Arrow stream or file, one after the other."""
+    import pyarrow as pa
+
+    with pa.memory_map(path) as source:
+        try:
+            yield from pa.ipc.open_stream(source)
+        except pa.ArrowInvalid:
+            held = pa.ipc.open_file(source)
+            yield from (held.get_batch(n) for n in range(held.num_record_batches))
+
+
 def read_db_bio(spark: SparkSession, path: str, max_records: int | None = None) -> DataFrame:
     """Biographies, Arrow or Parquet; the uid falls back from page name to label to place."""
     if path.endswith(".arrow"):
-        import pyarrow as pa
-
-        with pa.memory_map(path) as source:
-            try:
-                held = pa.ipc.open_stream(source).read_all()
-            except pa.ArrowInvalid:
-                held = pa.ipc.open_file(source).read_all()
-        numbered = held.append_column("idx", pa.array(range(held.num_rows), pa.int64()))
-        rows = spark.createDataFrame(numbered.to_pandas())
+        # the driver counts the batches, the workers read them: the file lies where both see it
+        sizes = [batch.num_rows for batch in _arrow_batches(path)]
+        parts = spark.createDataFrame([(n, sum(sizes[:n])) for n in range(len(sizes))], "batch int, first long").repartition(max(1, min(len(sizes), spark.sparkContext.defaultParallelism)))
+
+        def load(batches):
+            for part in batches:
+                wanted = dict(zip(part["batch"], part["first"]))
+                for number, held in enumerate(_arrow_batches(path)):
+                    if number in wanted:
+                        made = held.to_pandas()
+                        made["idx"] = range(wanted[number], wanted[number] + len(made))
+                        yield made[["idx", *[c.split()[0] for c in DB_BIO.split(", ")]]]
+
+        rows = parts.mapInPandas(load, f"idx long, {DB_BIO}")
     else:
         rows = numbered(spark.read.parquet(path), ["wiki_name", "text"])
     uid = F.coalesce(F.nullif("wiki_name", F.lit("")), F.nullif("label", F.lit("")), F.col("idx").cast("string"))
@@ -135,6 +148,21 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     return items.select("uid", F.when(first == "{", objects).when(first == "[", made).otherwise(F.from_json(F.lit("[]"), SPANS)).alias("spans"))
 
 
+def read_annotation_folder(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Annotation files of a folder by their name without ending; files that are no JSON object are left out with a warning."""
+    import warnings
+
+    out = {}
+    for file in _files(spark, folder, ".json"):
+        whole = spark.read.text(file, wholetext=True).select(F.expr("try_parse_json(value)").isNotNull().alias("ok"), F.substring(F.trim(F.regexp_replace("value", r"^\s+", "")), 1, 1).alias("first"))
+        row = whole.first()
+        if row is None or not row["ok"] or row["first"] != "{":
+            warnings.warn(f"{file} is no annotation file", stacklevel=2)
+            continue
+        out[PurePosixPath(file).stem] = read_annotations(spark, file)
+    return out
+
+
 def texts_by_uid(run: DataFrame, records: DataFrame) -> DataFrame:
     """uid, text of a run's rewritten texts, by way of the index; empty texts and unknown indices fall out."""
     return run.where(F.length("text") > 0).select("idx", F.col("text").alias("rewritten")).join(records.select("idx", "uid"), "idx").select("uid", "rewritten")

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import json
+import math
 import os
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_run(results: DataFrame, folder: str) -> None:
+def write_run(results: DataFrame, folder: str, resume: bool = False) -> None:
     """JSON lines of idx, text and, where they are not empty, spans and metadata.
 
-    One part file for each partition: the folder is the run.  Null and empty fields are left out.
+    One part file for each partition: the folder is the run.  Null and empty fields are left
+    out.  With ``resume`` what the folder holds stays, and only records that it does not
+    hold are worked off and appended.
     """
     columns = ["idx", "text"]
     out = results
@@ -24,7 +27,20 @@ def write_run(results: DataFrame, folder: str) -> None:
     if "metadata" in results.columns:
         out = out.withColumn("metadata", F.when(F.size("metadata") > 0, F.col("metadata")))
         columns.append("metadata")
-    out.select(*columns).write.mode("overwrite").option("ignoreNullFields", "true").json(folder)
+    if resume:
+        spark = results.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            out = out.join(spark.read.schema("idx long").json(folder).distinct(), "idx", "left_anti")
+    out.select(*columns).write.mode("append" if resume else "overwrite").option("ignoreNullFields", "true").json(folder)
+
+
+def print_records(results: DataFrame, most: int = 20) -> None:
+    """Prints text, number of spans and metadata of the first records by index."""
+    for row in results.orderBy("idx").limit(most).toLocalIterator():
+        held = row.asDict(recursive=True)
+        print(f"[{held['idx']}] {held['text']}")
+        print(f"    spans: {len(held.get('spans') or [])}" + (f"  metadata: {held['metadata']}" if held.get("metadata") else ""))
 
 
 def annotation_lines(records: DataFrame) -> DataFrame:
@@ -64,6 +80,23 @@ def report(summary: DataFrame, entries: DataFrame | None = None, form: str = "te
     return "\n".join([*("  ".join(shown(k, v) for k, v in row.items()) for row in heads), *("    " + "  ".join(shown(k, v) for k, v in row.items()) for row in rows)])
 
 
+def score_table(rows: list[dict], kinds: tuple[str, ...], temperature: float = 1.0) -> str:
+    """Words of one text with each score and its soft-max at a temperature; a missing score is n/a."""
+    if temperature <= 0:
+        raise ValueError("the temperature must be above 0")
+    lines = ["idx  word" + "".join(f"  {k}  p({k})" for k in kinds)]
+    shares: dict[str, list[float | None]] = {}
+    for kind in kinds:
+        known = [r[kind] for r in rows if r[kind] is not None]
+        top = max(known, default=0.0)
+        exps = [math.exp((r[kind] - top) / temperature) if r[kind] is not None else None for r in rows]
+        total = sum(e for e in exps if e is not None)
+        shares[kind] = [None if e is None else e / total if total > 0 and math.isfinite(total) else 1 / len(known) for e in exps]
+    shown = lambda x: "n/a" if x is None else f"{x:.6f}"
+    lines += [f"{n:>3}  {row['word']}" + "".join(f"  {shown(row[k])}  {shown(shares[k][n])}" for k in kinds) for n, row in enumerate(rows)]
+    return "\n".join(lines)
+
+
 def put(text: str, path: str | None) -> None:
     """Prints a report, or writes it to a file with a line end."""
     if path is None:
