@@ -110,6 +110,40 @@ def test_sanitise(spark):
     assert sanitise.occurrences(records_of(spark, PII).limit(0)).count() == 0
 
 
+def test_without_terms_nothing_is_found():
+    for text in PII.values():
+        assert sanitise.find(text, frozenset(), frozenset()) == []
+
+
+def test_cues_are_learnt_and_name_the_unknown(spark):
+    rng = random.Random(6)
+    known = [f"{a}{b}".capitalize() for a in ("bel", "dor", "kar", "lim", "nor", "pel") for b in ("dan", "ris", "tov", "vik", "wen")]
+    fresh = [f"Zu{x.lower()}" for x in known]
+    rows = {}
+    for n in range(240):
+        name = f"{rng.choice(known)} {rng.choice(known)}"
+        rows[f"t{n}"] = f"Mr {name} left early. The parcel for {rng.choice(known)} {rng.choice(known)} arrived at dawn. Every Tuesday the market was full. The Harbour near Selton was quiet."
+    for n in range(30):
+        rows[f"n{n}"] = f"The parcel for {fresh[n]} {fresh[-1 - n]} arrived at dawn. The Harbour near Selton was quiet."
+    texts = spark.createDataFrame(list(rows.items()), "uid string, text string")
+    cues = {r["term"] for r in sanitise.learn_cues(texts).collect()}
+    assert "<parcel for" in cues and not any("near" in c.split() for c in cues)
+    for limit in (20_000, 0):  # sent or joined
+        sanitise.SENT_CUES, kept = limit, sanitise.SENT_CUES
+        held = {r["uid"]: set(r["cues"] or ()) for r in sanitise.with_cues(texts, sanitise.learn_cues(texts)).collect()}
+        sanitise.SENT_CUES = kept
+        assert all("<parcel for" in v for v in held.values())
+    found = {r["uid"]: [r["text"][s["start"] : s["end"]] for s in r["spans"]] for r in sanitise.sanitise(records_of(spark, rows)).collect()}
+    right = sum(found[f"n{n}"] == [f"{fresh[n]} {fresh[-1 - n]}"] for n in range(30))
+    assert right >= 27  # names that no title ever introduced
+
+
+def test_telephone_numbers_of_any_country():
+    for value in ("+91 98765 43210", "+81 3-1234-5678", "+55 11 91234 5678", "+420 601 123 456", "0044 20 7946 0123"):
+        found = [(k, s, e) for k, s, e, _ in sanitise.forms(f"Please call {value}.") if k == "phone"]
+        assert found == [("phone", 12, 12 + len(value))]
+
+
 def test_redaction_keeps_the_rest():
     text, spans = "a Bob c", [(2, 5, "PERSON")]
     assert sanitise.redact(text, spans) == "a [PERSON] c"

@@ -4,29 +4,39 @@ Method: information-theoretic sanitisation.  What a term discloses about a prote
 entity is estimated from the corpus: the pointwise mutual information, in bits, between
 the term and the contexts that introduce entities of a kind.
 
-* Names: every word of the corpus is counted, and counted again where it stands in a
-  context that introduces a person.  Words whose co-occurrence discloses more than
-  ``DISCLOSURE_BITS`` are name terms wherever and in whatever case they occur; company and
-  place contexts count against them.
+* Cues: which contexts introduce a person is learnt.  Words behind a title (Mr, Herr, Mme,
+  don) are the first names and surnames known; a context of two or three tokens before or
+  behind capitalised words is a cue if such words stand there much more often than
+  elsewhere (``CUE_BITS``), and nearly as often as behind a title.  How many of all names
+  are known is measured on one half of the records with the words of the other.
+* Names: every word of the corpus is counted, and counted again where a title, salutation
+  or cue introduces a person.  Words whose co-occurrence discloses more than
+  ``DISCLOSURE_BITS``, in at least ``DISCLOSING_SHARE`` of their places, are name terms
+  wherever and in whatever case they occur; those below that share, but at or above
+  ``POSSIBLE_SHARE``, only where a person is introduced; company contexts count against them.
 * Numbers: a number's shape (letters, digits and separators) is the term; its
   co-occurrence with words that introduce identity numbers, telephone numbers or mere codes
-  (orders, files, stock) decides what the shape discloses.  A number beside such a word is
-  judged by that word.
+  (orders, files, stock) decides what the shape discloses, whatever its country.
+* Forms: e-mail addresses, telephone numbers by their prefix, street addresses by their
+  language and identity numbers beside a naming word are terms too: their patterns only
+  propose values, the co-occurrence of the form with contexts that introduce such values
+  decides whether it discloses in this corpus.
 
 Terms over the threshold are grown to whole values (initials, particles, "Surname, Given",
 prefix and extension, house number to town) and generalised to typed placeholders such as
 ``[EMAIL]``; the rest of the text stays as it is.
 
-The two count tables stay distributed; each record meets only the terms it holds.
+The count tables stay distributed; each record meets only the cues and terms it holds.
 
 Defined results: null and blank texts have no occurrence; rows of one uid count once;
 overlapping finds keep the one that begins first, then the longer; placeholders already in
-the text are left alone.
+the text are left alone; a corpus that never introduces a kind of value yields none of it.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,7 +48,13 @@ from umbra.session import cut
 
 DISCLOSURE_BITS = 1.0
 DISCLOSING_SHARE = 0.25  # least share of a term's occurrences in entity contexts, where entities are rare
-POSSIBLE_SHARE = 0.02  # least share for a word that is a name only where a person is introduced
+POSSIBLE_SHARE = 0.05  # least share for a word that is a name only where a person is introduced
+SEED_SHARE = 0.05  # least share of a word's places behind a title to be known as a name
+CUE_BITS = 1.0  # least bits that a context discloses of a person to be a cue
+CUE_SHARE = 0.65  # least share of names behind it, against that behind a title
+CUE_NAMES = 8  # least number of different known words behind it
+SENT_CUES = 20_000  # cues sent to the workers whole; results do not depend on it
+PHONE_SEEN = 2  # least number of places behind a naming word for a shape outside the known forms
 
 # ---------------------------------------------------------------- fixed values: words
 TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Mme Mlle Madame Monsieur don doña señor señora Sr Sra Sir Lady".split()
@@ -55,7 +71,9 @@ ID_WORDS = (
     "|pasaporte(?: n\\.?º)?|DNI|NIE|NIF|permiso de conducir|carné de conducir|número de (?:la )?seguridad social|documento de identidad"
 )
 CODE_WORDS = "case|file|order|application(?: no\\.?)?|stock code|stock|tracking(?: number)?|invoice|parcel|section|build|version|commande|requête|dossier|colis|Bestellung|Akte|Aktenzeichen|Beschwerde(?:nummer)?|Sendung|pedido|expediente|demanda|factura|facture|Rechnung|ticket|ref(?:erence)?\\.?"
-PHONE_WORDS = "tel|tél|teléfono|telephone|téléphone|Telefon|phone|number|ring|call me|reached on|joindre|Rappelez|unter|Llamen al|llamar|mobile|fax|ext\\.?"
+MAIL_WORDS = "e-?mail|mail|courriel|correo|write to|wrote|writes|send|sent|reply|answer|contact|kontakt|schreiben|schreibt|antworten|écri(?:re|vez|vit)|répond(?:re|ez)|escrib(?:ir|an|a)|respond(?:er|an)|confirmation to|address"
+ADDRESS_WORDS = "address|lives?|lived|living|resid(?:es|ed|ing|ent)|deliver(?:ed|y)?|sent to|ship(?:ped)? to|moved to|flat|house|wohnt|wohnhaft|Anschrift|Adresse|zugestellt|ging an|geht an|habite|demeur(?:e|ant)|domicili[éo]|adresse|parti au|livré|vive|reside|dirección|enviado|entregado|paquete a"
+PHONE_WORDS = "tel|tél|teléfono|telephone|téléphone|Telefon|phone|number|ring|call|dial|reach|Rückruf|appel|llam|joindre|Rappelez|unter|Llamen al|llamar|mobile|fax|ext\\.?"
 
 # ---------------------------------------------------------------- values by their form
 _AT = r"(?:\s?@\s?|\s?[\[({]\s?(?:at|AT|arroba|ät)\s?[\])}]\s?|\s(?:AT)\s)"
@@ -66,7 +84,7 @@ NUMBER = re.compile(r"(?<![\w@#/.\-+(])(?:\(?\+\s?\d{1,3}\)?|\(\d{2,5}\)|\d)(?:[
 _EXTENSION = r"(?:,?\s?(?:ext\.?|extension|x|Durchwahl|DW|poste)\s?\d{1,5})?"
 PHONE = re.compile(
     r"(?<![\w@#/.\-+(£$€])(?:"
-    r"(?:\(?(?:\+|00)\s?(?:44|1|33|49|34|31|39|48|351|7|41|43|353)\)?[\s.\-]?(?:\(0\)\s?)?(?:\(\d{1,4}\)[\s.\-]?)?\d(?:[\s.\-/]?\d){6,11})"
+    r"(?:\(?(?:\+|00)\s?[1-9]\d{0,2}\)?[\s.\-]?(?:\(0\)\s?)?(?:\(\d{1,4}\)[\s.\-]?)?\d(?:[\s.\-/]?\d){6,11})"
     r"|\(0\d{1,4}\)\s?\d(?:[\s.\-]?\d){5,9}"
     r"|\(\d{3}\)\s?\d{3}[\s.\-]\d{4}"
     r"|\d{3}([.\-])\d{3}\1\d{4}"
@@ -84,6 +102,13 @@ _CODE_BEFORE = re.compile(rf"(?i:\b(?:{CODE_WORDS}))\W{{0,3}}(?:(?:no|number|num
 _ID_BEFORE_SHAPE = re.compile(rf"(?:\b(?i:{ID_WORDS}))\W{{0,3}}$")
 _ID_AFTER_SHAPE = re.compile(rf"^\s+(?:as|als|comme|como)\s+\w+\s+(?i:{ID_WORDS})\b")
 
+_BESIDE = {
+    "email": re.compile(rf"(?i)\b(?:{MAIL_WORDS})\b"),
+    "address": re.compile(rf"(?i)\b(?:{ADDRESS_WORDS})\b"),
+    "phone": re.compile(rf"(?i)\b(?:{PHONE_WORDS})"),
+    "id": re.compile(rf"\b(?i:{ID_WORDS})\b"),
+}
+
 _TOWN = r"(?:(?!(?i:Flat|Apt|Tel|Tél|Mail|The|In|On|At|And|Bestellung|Commande|Pedido|Order)\b)[A-ZÀ-ÞŁŚŻ][\wß-ÿ’'\-]+)"
 _NAME_WORDS = r"(?!(?i:at|in|of|to|the|and|for|lists|by|a|on|with|from|room|row|copies)\b)[A-Za-zÀ-ÿŁłŚśŻż][\wÀ-ÿ’'\-]+"
 _SEP = r"(?:,\s?|\s)"
@@ -107,9 +132,8 @@ WORD = re.compile(rf"{_LETTERS}+(?:[-’']{_LETTERS}{{2,}})*")
 _RUN = rf"(?:{_LETTERS}\.\s|{_LETTERS}{{2,}}(?:[-]{_LETTERS}+)*,?\s){{0,4}}?{_LETTERS}{{2,}}(?:[-]{_LETTERS}+)*"
 _TITLE = "|".join(sorted(TITLES, key=len, reverse=True))
 BEFORE_NAME = re.compile(
-    rf"(?i:\b(?:{_TITLE})\.?\s|requérant, M\.\s|\bI am |\bask for |Regards,\s|\bname=|Contact:\s|According to |\bsays |\bNeither |\bnor |Forward everything to |\bhanded to |\bas the [\w .\-]{{2,30}} of |--\s?\n|\bjoindre |Rappelez |Sie erreichen |[Ll]lamar a |pregunten por |\bAtentamente, |Cordialement, |Grüßen, |Grüße, |Grüßen\n|\bsigned,? |\bvon Herrn |\bDear |\bchère? |\bEstimad[oa] |Beschwerdeführer(?:in)?, )"
+    rf"(?i:\b(?:{_TITLE})\.?\s|\bname\s?[=:]\s?|\bcontact:\s|\b(?:kind |best )?regards,\s|\batentamente, |\bcordialement, |\bgrü(?:ß|ss)en?,? |\bgrü(?:ß|ss)en?,?\n|\bsigned,? |\bdear |\bchère? |\bestimad[oa] )"
 )
-AFTER_NAME = re.compile(r"\s(?:can be reached|paid |later confirmed|signed for|\((?i:" + ID_WORDS + r")\b)|[’']s (?:flat|house|lawyer)|\s(?:weiß Bescheid|, was born|, né)")
 _AFTER_COMPANY = re.compile(r"^(?:\s?(?:&|and|und|et|y)\s[^\W\d_][\w\-’']+)?\s(?i:plc|ltd|limited|sa|gmbh|inc|llc|ag|kg|sarl|sl|bv|nv|llp|corp|city council|savings bank|coaches|power|council|bank|group)\b|^\s?&")
 _BEFORE_COMPANY = re.compile(r"&\s?$")
 _BEFORE_PLACE = re.compile(r"\b(?:[Ii]n|near|at|en|à|À|zu|nach|outside|to|from|around|bei|aus|cerca de|desde)\s$")
@@ -133,13 +157,86 @@ def is_small(text: str) -> bool:
     return sum(map(str.isupper, text)) * 200 < len(text)
 
 
-def introduced(text: str, words: list[tuple[int, int, str, bool]], inside) -> set[int]:
-    """Places in ``words`` that stand in a context which introduces a person."""
+_NEAR = re.compile(r"\w+|[^\w\s]|\n")
+
+
+class Contexts:
+    """Tokens of a text, for the two and three before or behind a place."""
+
+    def __init__(self, text: str):
+        self.tokens = [m.group().lower() for m in _NEAR.finditer(text)]
+        found = [m.span() for m in _NEAR.finditer(text)]
+        self.at_start = {a: n for n, (a, _) in enumerate(found)}
+        self.at_end = {b: n for n, (_, b) in enumerate(found)}
+
+    def before(self, start: int) -> list[str]:
+        n = self.at_start.get(start)
+        return [] if n is None else ["<" + " ".join(self.tokens[n - size : n]) for size in (2, 3) if n >= size]
+
+    def behind(self, end: int) -> list[str]:
+        n = self.at_end.get(end)
+        return [] if n is None else [">" + " ".join(self.tokens[n + 1 : n + 1 + size]) for size in (2, 3) if n + size < len(self.tokens)]
+
+
+def capital_runs(text: str, words: list[tuple[int, int, str, bool]]) -> list[tuple[int, int]]:
+    """First and last place in ``words`` of stretches of capitalised words (initials and particles inside them)."""
+    out, at = [], 0
+    while at < len(words):
+        if not words[at][3] or words[at][2] in _TITLE_WORDS:
+            at += 1
+            continue
+        last = at
+        while last + 1 < len(words):
+            gap, (_, _, word, capital) = text[words[last][1] : words[last + 1][0]], words[last + 1]
+            if gap not in (" ", "-", ". ") or gap == ". " and words[last][1] - words[last][0] > 1 or not (capital or word in PARTICLES) or word in _TITLE_WORDS:
+                break
+            last += 1
+        while words[last][2] in PARTICLES and last > at:
+            last -= 1
+        out.append((at, last))
+        at = last + 1
+    return out
+
+
+def context_counts(text: str, half: int) -> Counter:
+    """(key, word) counts of one text: the contexts of its capitalised words; the key of a title is its half of the corpus."""
+    out: Counter = Counter()
+    words, near = list(name_words(text)), Contexts(text)
+    titled = {m.end() for m in _LEADING_TITLE.finditer(text)}
+    for first, last in capital_runs(text, words):
+        names = [w for *_, w, _ in words[first : last + 1] if len(w) > 1 and w not in PARTICLES]
+        start, end = words[first][0], words[last][1]
+        keys = near.before(start) + near.behind(end) + [f"title {half}"] * (start in titled) + ["anywhere"]
+        out.update((key, name) for key in keys for name in names)
+        if last > first and opens_sentence(text, start):  # its first word may be none of the name
+            later = [w for *_, w, _ in words[first + 1 : last + 1] if len(w) > 1 and w not in PARTICLES]
+            out.update((key, name) for key in near.before(words[first + 1][0]) for name in later)
+    return out
+
+
+def opens_sentence(text: str, start: int) -> bool:
+    """Whether a sentence or line begins at a place."""
+    return re.search(r"(?:^|[.!?…\n])[ \t]*$", text[max(0, start - 4) : start]) is not None
+
+
+def held_contexts(text: str) -> set[str]:
+    """Contexts in which a name of the text may stand."""
+    words, near, small = list(name_words(text)), Contexts(text), is_small(text)
+    if small:
+        return {key for start, end, *_ in words for key in (*near.before(start), *near.behind(end))}
+    runs = capital_runs(text, words)
+    longer = {key for start, _, _, capital in words if not capital for key in near.before(start)[1:]}
+    places = {words[first][0] for first, _ in runs} | {words[first + 1][0] for first, last in runs if last > first}
+    return longer | {key for start in places for key in near.before(start)} | {key for _, last in runs for key in near.behind(words[last][1])}
+
+
+def introduced(text: str, words: list[tuple[int, int, str, bool]], inside, cues: frozenset[str] = frozenset()) -> tuple[set[int], set[int]]:
+    """Places in ``words`` that stand in a context which introduces a person, and those of the words that introduce one."""
     person: set[int] = set()
     starts = {start: index for index, (start, *_) in enumerate(words)}
-    ends = {end: index for index, (_, end, *_) in enumerate(words)}
 
     small = is_small(text)
+    begins: set[int] = set()  # places behind a title, salutation or cue
 
     def mark(index: int, step: int) -> None:
         taken, at = 0, index
@@ -147,7 +244,7 @@ def introduced(text: str, words: list[tuple[int, int, str, bool]], inside) -> se
         plain = 0  # words in small letters taken, parts after a hyphen and particles apart
         while 0 <= at < len(words) and taken < 5:
             start, end, word, capital = words[at]
-            if word in _TITLE_WORDS and len(word) > 1 or not (capital or word in PARTICLES or lower and plain < (3 if small else 2) or lower and text[start - 1 : start] == "-") or inside(start):
+            if taken and at + 1 in begins and word not in PARTICLES or word in _TITLE_WORDS and len(word) > 1 or not (capital or word in PARTICLES or lower and plain < (3 if small else 2) or lower and text[start - 1 : start] == "-") or inside(start):
                 break
             if taken:
                 gap = text[words[at - step][1] : start] if step > 0 else text[end : words[at - step][0]]
@@ -157,6 +254,8 @@ def introduced(text: str, words: list[tuple[int, int, str, bool]], inside) -> se
             if word not in PARTICLES and len(word) > 1:
                 person.add(at)
                 plain += not capital and text[start - 1 : start] != "-"
+            if step < 0 and at in begins:
+                break  # what stands before it introduces it
             taken += 1
             at += step
 
@@ -166,20 +265,60 @@ def introduced(text: str, words: list[tuple[int, int, str, bool]], inside) -> se
         at = title.end() if title else at
         # "la señora" is a common noun where no name follows
         if at in starts and (words[starts[at]][3] or small or not re.search("(?i)señora?\\s$", text[max(0, at - 8) : at])):
-            mark(starts[at], 1)
-    for match in AFTER_NAME.finditer(text):
-        if match.start() in ends:
-            mark(ends[match.start()], -1)
-    return person
-
-
-def term_counts(text: str) -> Counter:
+            begins.add(starts[at])
+    if not cues:
+        for index in sorted(begins):
+            mark(index, 1)
+    else:
+        near = Contexts(text)
+        asked = [index for index, (_, _, word, capital) in enumerate(words) if capital or small or word in PARTICLES]
+        # a word in small letters needs the longer context
+        cued = [index for index, (start, _, word, capital) in enumerate(words) if any(key in cues for key in (near.before(start) if capital or small else near.before(start)[1:]))]
+        begins.update(cued)
+        for index in sorted(begins):
+            mark(index, 1)
+        for index in asked:
+            if any(key in cues for key in near.behind(words[index][1])):
+                mark(index, -1)
+    leading = {at - 1 for at in begins if at and words[at - 1][2] not in PARTICLES and len(words[at - 1][2]) > 1 and text[words[at - 1][1] : words[at][0]] in (" ", ", ", ": ", "\n")}
+    return person - leading, leading
+
+
+def phone_form(value: str) -> str:
+    """What a telephone number begins with."""
+    bare = value.lstrip("( ")
+    return "phone:" + ("+" if bare.startswith("+") else "00" if bare.startswith("00") else "0" if bare.startswith("0") else "9")
+
+
+def forms(text: str) -> Iterator[tuple[str, int, int, str]]:
+    """Proposed values: kind, start, end and form."""
+    for m in EMAIL.finditer(text):
+        yield "email", *m.span(), "email"
+    for language, pattern in zip(("en", "de", "fr", "es"), _LOW_ADDRESSES if is_small(text) else _ADDRESSES):
+        for m in pattern.finditer(text):
+            yield "address", m.start(), m.start() + len(m.group().rstrip(" ,\n")), f"address:{language}"
+    for m in PHONE.finditer(text):
+        value = m.group().rstrip(" .-/")
+        yield "phone", m.start(), m.start() + len(value), phone_form(value)
+    for m in NUMBER.finditer(text):
+        value = m.group().rstrip(" .-/")
+        yield "number", m.start(), m.start() + len(value), shape(value)
+
+
+def term_counts(text: str, cues: frozenset[str] = frozenset()) -> Counter:
     """(kind, term, context) counts of one text, for the corpus tables."""
     out: Counter = Counter()
+    for kind, start, _, form in forms(text):
+        beside = _BESIDE["phone" if kind == "number" else kind].search(text[max(0, start - 60) : start]) is not None
+        coded = kind in ("phone", "number") and _CODE_BEFORE.search(text[max(0, start - 40) : start])
+        out["number" if kind == "number" else "form", form, "code" if coded else "entity" if beside else "none"] += 1
+    for kind, pattern in _BESIDE.items():  # how often such a context stands anywhere
+        out["base", kind, "entity"] += sum(1 for _ in pattern.finditer(text))
+    out["base", "words", "none"] += text.count(" ") + 1
     protected = [m.span() for m in EMAIL.finditer(text)]
     inside = lambda at: any(a <= at < b for a, b in protected)
     words = list(name_words(text))
-    person = introduced(text, words, inside)
+    person, _ = introduced(text, words, inside, cues)
     for index, (start, end, word, capital) in enumerate(words):
         if len(word) < 2 or word in PARTICLES or inside(start):
             continue
@@ -201,19 +340,21 @@ def shape(value: str) -> str:
 
 
 # ---------------------------------------------------------------- spans
-def _names(text: str, known: frozenset[str], possible: frozenset[str], taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+def _names(text: str, known: frozenset[str], possible: frozenset[str], taken: list[tuple[int, int, str]], cues: frozenset[str] = frozenset()) -> list[tuple[int, int, str]]:
     blocked = [(a, b) for a, b, _ in taken]
     inside = lambda at: any(a <= at < b for a, b in blocked)
     words = list(name_words(text))
-    small = is_small(text)
-    here = {words[at][0] for at in introduced(text, words, inside) if words[at][3] or small} if possible else set()
+    small, near = is_small(text), Contexts(text)
+    person, leading = introduced(text, words, inside, cues)
+    introduced_at, leads = {words[at][0] for at in person}, {words[at][0] for at in leading}
+    here = {start for start, _, _, capital in words if start in introduced_at and (capital or small)} if possible else set()
     tokens = []  # start, end, kind: N name, I initial, P particle
     for match in re.finditer(rf"{_LETTERS}+(?:-{_LETTERS}+)*\.?", text):
         value = match.group()
         bare = value.rstrip(".")
         start, end = match.start(), match.start() + len(bare)
         parts = bare.lower().split("-")
-        if inside(start):
+        if inside(start) or start in leads:
             continue
         if all(p in known or p in possible and start in here for p in parts) and len(bare) > 1 and bare.lower() not in _TITLE_WORDS:
             tokens.append((start, end, "N", bare))
@@ -251,7 +392,7 @@ def _names(text: str, known: frozenset[str], possible: frozenset[str], taken: li
             continue
         if run[0][2] == "P" and run[0][3].lower() in ("de", "del", "la", "le", "du", "da", "di", "al", "der", "den") and not run[0][3][:1].isupper():
             lead = 0
-            cued = any(m.end() == len(before) for m in BEFORE_NAME.finditer(before))
+            cued = start in introduced_at or any(m.end() == len(before) for m in BEFORE_NAME.finditer(before)) or any(key in cues for key in near.before(start))
             if not cued and run[0][3].lower() in ("la", "le", "du", "al", "der", "den"):
                 lead = 1
             run = run[lead:]
@@ -261,14 +402,17 @@ def _names(text: str, known: frozenset[str], possible: frozenset[str], taken: li
             cue = None
             for cue in BEFORE_NAME.finditer(before):
                 pass
-            if not (cue and cue.end() == len(before)) and not AFTER_NAME.match(after):
+            if not (cue and cue.end() == len(before)) and not any(key in cues for key in (*near.before(start), *near.behind(end))):
                 continue
         out.append((start, end, "PERSON"))
     return out
 
 
-def _shaped(text: str, disclosing: frozenset[str]) -> list[tuple[int, int, str]]:
+def _shaped(text: str, disclosing: frozenset[str], named: bool = True) -> list[tuple[int, int, str]]:
+    """Identity numbers: beside a naming word (if the corpus holds such at all), or of a shape that discloses."""
     out = []
+    if not named:
+        return [(m.start(), m.end(), "ID_NUMBER") for m in ID_SHAPED.finditer(text) if shape(m.group()) in disclosing and not _CODE_BEFORE.search(text[max(0, m.start() - 40) : m.start()])]
     for match in ID_AFTER.finditer(text):
         start, end = _trim(text, *match.span("v"))
         if sum(c.isdigit() for c in text[start:end]) >= 4:
@@ -294,31 +438,35 @@ def _trim(text: str, start: int, end: int) -> tuple[int, int]:
     return start + lead, start + len(value)
 
 
-def find(text: str | None, names: frozenset[str], shapes: frozenset[str], possible: frozenset[str] = frozenset()) -> list[tuple[int, int, str]]:
+def find(
+    text: str | None, names: frozenset[str], shapes: frozenset[str], possible: frozenset[str] = frozenset(), disclosing: frozenset[str] = frozenset(), numbers: frozenset[str] = frozenset(), cues: frozenset[str] = frozenset()
+) -> list[tuple[int, int, str]]:
     """Spans and labels of one text, given the terms that disclose.
 
-    ``names`` are name terms wherever they stand, ``possible`` only where a person is introduced.
+    ``names`` are name terms wherever they stand, ``possible`` only where a person is
+    introduced (by ``cues`` among others); ``shapes`` are shapes of identity numbers,
+    ``numbers`` of telephone numbers, ``disclosing`` the forms.
     """
     if not text or text.isspace():
         return []
     found: list[tuple[int, int, str, int]] = []
     for match in PLACEHOLDER.finditer(text):
         found.append((*match.span(), "", -1))
-    found += [(*m.span(), "EMAIL", 0) for m in EMAIL.finditer(text)]
-    found += [(s, e, label, 1) for s, e, label in _shaped(text, shapes)]
-    for pattern in _LOW_ADDRESSES if is_small(text) else _ADDRESSES:
-        found += [(m.start(), m.start() + len(m.group().rstrip(" ,\n")), "ADDRESS", 2) for m in pattern.finditer(text)]
-    for match in PHONE.finditer(text):
-        value = match.group().rstrip(" .-/")
-        digits = sum(c.isdigit() for c in value)
-        before = text[max(0, match.start() - 40) : match.start()]
-        if 8 <= digits <= 17 and not _CODE_BEFORE.search(before):
-            found.append((match.start(), match.start() + len(value), "PHONE", 3))
+    found += [(s, e, label, 1) for s, e, label in _shaped(text, shapes, "id" in disclosing)]
+    for kind, start, end, form in forms(text):
+        if kind == "email" and form in disclosing:
+            found.append((start, end, "EMAIL", 0))
+        elif kind == "address" and form in disclosing:
+            found.append((start, end, "ADDRESS", 2))
+        elif kind == "phone" and form in disclosing or kind == "number" and form in numbers:
+            digits = sum(c.isdigit() for c in text[start:end])
+            if 8 <= digits <= 17 and not _CODE_BEFORE.search(text[max(0, start - 40) : start]):
+                found.append((start, end, "PHONE", 3 if kind == "phone" else 4))
     kept: list[tuple[int, int, str]] = []
     for start, end, label, order in sorted(found, key=lambda f: (f[3], f[0], f[0] - f[1])):
         if all(end <= a or start >= b for a, b, _ in kept):
             kept.append((start, end, label))
-    kept += _names(text, names, possible, kept)
+    kept += _names(text, names, possible, kept, cues)
     return sorted(k for k in kept if k[2])
 
 
@@ -332,29 +480,112 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 # ---------------------------------------------------------------- Spark
-def _count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total: Counter = Counter()
-    columns = ["kind", "term", "context", "n"]
-    for batch in batches:
-        for text in batch["text"]:
-            total.update(term_counts(text))
-        if len(total) > 200_000:
-            yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=columns)
-            total = Counter()
-    yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=columns)
+def _summed(count):
+    """Counts of the texts of a batch, given out whenever they grow large."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: Counter = Counter()
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                total.update(count(row))
+            if len(total) > 200_000:
+                yield pd.DataFrame([(*k, n) for k, n in total.items()])
+                total = Counter()
+        yield pd.DataFrame([(*k, n) for k, n in total.items()])
+
+    return scan
+
+
+def _frozen(values) -> frozenset[str]:
+    return frozenset(() if values is None else values)
+
+
+def learn_cues(texts: DataFrame) -> DataFrame:
+    """term, bits: the contexts (two or three tokens, < before and > behind) that introduce persons."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in _summed(lambda row: context_counts(row.text, zlib.crc32(row.uid.encode()) & 1))(batches):
+            frame.columns = ["key", "word", "n"] if len(frame.columns) else []
+            yield frame if len(frame) else pd.DataFrame({"key": pd.Series(dtype=str), "word": pd.Series(dtype=str), "n": pd.Series(dtype="int64")})
+
+    counted = cut(texts.select("uid", "text").mapInPandas(scan, "key string, word string, n long").groupBy("key", "word").agg(F.sum("n").alias("n")))
+    titled = counted.where(F.col("key").startswith("title "))
+    # a street may end in what looks like a title, so a word must stand behind one often enough
+    everywhere = counted.where("key = 'anywhere'").select("word", F.col("n").alias("all"))
+    seeds = cut(titled.groupBy("word").agg(F.sum("n").alias("titled")).join(everywhere, "word").where(F.col("titled") >= SEED_SHARE * F.col("all")).select("word", F.lit(1).alias("seed")))
+    # of the names behind titles in one half, how many are known from the other
+    titled = titled.join(seeds.select("word"), "word", "left_semi")
+    other = titled.where("key = 'title 0'").select("word").withColumn("met", F.lit(1))
+    known = titled.where("key = 'title 1'").join(other, "word", "left").agg((F.sum(F.col("n") * F.coalesce("met", F.lit(0))) / F.sum("n")).alias("known"))
+    marked = counted.join(seeds, "word", "left").withColumn("named", F.col("n") * F.coalesce("seed", F.lit(0)))
+    by_key = marked.groupBy("key").agg(F.sum("n").alias("n"), F.sum("named").alias("named"), F.count("seed").alias("names"))
+    by_key = cut(by_key.where("named > 0"))
+    anywhere = by_key.where("key = 'anywhere'").select((F.col("named") / F.col("n")).alias("base"))
+    share = F.col("named") / F.col("n")
+    bits = F.log2(share / F.col("base"))
+    told = by_key.where(F.col("key").rlike("^[<>]")).where(F.col("names") >= CUE_NAMES).crossJoin(F.broadcast(anywhere.crossJoin(known)))  # one row of two numbers
+    kept = told.withColumn("bits", bits).where((F.col("bits") >= CUE_BITS) & (share >= CUE_SHARE * F.coalesce("known", F.lit(1.0)))).select(F.col("key").alias("term"), "bits")
+    # a given name introduces a surname, but is none of the words around a name
+    own = kept.select("term", F.explode(F.split(F.substring("term", 2, 1000), " ")).alias("word")).join(seeds.select("word"), "word", "left_semi").select("term").distinct()
+    return kept.join(own, "term", "left_anti")
+
+
+def with_cues(texts: DataFrame, cues: DataFrame) -> DataFrame:
+    """uid, text and the cues that each text holds.
+
+    Up to ``SENT_CUES`` cues are sent to the workers; more are joined to the texts' contexts.
+    """
+    few = [row["term"] for row in cues.select("term").limit(SENT_CUES + 1).collect()]
+    if len(few) <= SENT_CUES:
+        sent = texts.sparkSession.sparkContext.broadcast(frozenset(few))
+
+        def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                batch["cues"] = [sorted(held_contexts(text) & sent.value) for text in batch["text"]]
+                yield batch
+
+        return texts.select("uid", "text").mapInPandas(look, "uid string, text string, cues array<string>")
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(uid, key) for uid, text in zip(batch["uid"], batch["text"]) for key in held_contexts(text)]
+            yield pd.DataFrame(rows, columns=["uid", "term"])
+
+    held = texts.select("uid", "text").mapInPandas(scan, "uid string, term string").join(cues.select("term"), "term").groupBy("uid").agg(F.collect_set("term").alias("cues"))
+    return texts.select("uid", "text").join(held, "uid", "left")
 
 
 def disclosure(texts: DataFrame) -> DataFrame:
-    """role, kind, term, bits: terms that disclose more than the threshold, and words that may be names."""
-    counted = texts.select("text").mapInPandas(_count_terms, "kind string, term string, context string, n long")
-    by_term = counted.groupBy("kind", "term").agg(F.sum(F.when(F.col("context").isin("person", "id"), F.col("n")).otherwise(0)).alias("entity"), F.sum("n").alias("n"))
-    by_term = cut(by_term)
-    whole = by_term.groupBy("kind").agg(F.sum("entity").alias("all_entity"), F.sum("n").alias("all_n"))  # two rows
+    """role, kind, term, bits: terms that disclose more than the threshold, and words that may be names.
+
+    ``texts`` has text and cues.
+    """
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in _summed(lambda row: term_counts(row.text, _frozen(row.cues)))(batches):
+            if len(frame):
+                frame.columns = ["kind", "term", "context", "n"]
+                yield frame
+
+    counted = texts.select("text", "cues").mapInPandas(scan, "kind string, term string, context string, n long")
+    entity = F.sum(F.when(F.col("context").isin("person", "id", "entity"), F.col("n")).otherwise(0)).alias("entity")
+    by_term = cut(counted.groupBy("kind", "term").agg(entity, F.sum("n").alias("n")))
+    terms = by_term.where("kind IN ('name', 'shape')")
+    whole = terms.groupBy("kind").agg(F.sum("entity").alias("all_entity"), F.sum("n").alias("all_n"))  # two rows
     share = F.col("entity") / F.col("n")
     bits = F.log2(share / (F.col("all_entity") / F.col("all_n")))
-    scored = by_term.where("entity > 0").join(F.broadcast(whole), "kind").withColumn("bits", bits)
+    scored = terms.where("entity > 0").join(F.broadcast(whole), "kind").withColumn("bits", bits)
     strong = (F.col("bits") >= DISCLOSURE_BITS) & (share >= DISCLOSING_SHARE)
-    return scored.where(share >= POSSIBLE_SHARE).select(F.when(strong, F.col("kind")).otherwise("possible").alias("role"), "kind", "term", "bits").where("role <> 'possible' OR kind = 'name'")
+    found = scored.where(share >= POSSIBLE_SHARE).select(F.when(strong, F.col("kind")).otherwise("possible").alias("role"), "kind", "term", "bits").where("role <> 'possible' OR kind = 'name'")
+    # forms and shapes of telephone numbers, against how often their contexts stand anywhere
+    base = by_term.where("kind = 'base'")
+    rates = base.where("term <> 'words'").select(F.col("term").alias("of"), "entity").crossJoin(F.broadcast(base.where("term = 'words'").select(F.col("n").alias("words"))))  # four rows
+    proposed = by_term.where("kind IN ('form', 'number') AND entity > 0").withColumn("of", F.when(F.col("kind") == "number", "phone").otherwise(F.split("term", ":")[0]))
+    against = proposed.join(F.broadcast(rates.withColumnRenamed("entity", "contexts")), "of").withColumn("bits", F.log2(share / (F.col("contexts") / F.col("words"))))
+    enough = (F.col("kind") == "form") | (F.col("entity") >= PHONE_SEEN) & (share >= 0.5)
+    disclosing = against.where((F.col("bits") >= DISCLOSURE_BITS) & enough).select(F.col("kind").alias("role"), "kind", "term", "bits")
+    named = rates.where("of = 'id' AND entity > 0").select(F.lit("form").alias("role"), F.lit("form").alias("kind"), F.lit("id").alias("term"), F.log2(F.col("words") / F.col("entity")).alias("bits")).where(F.col("bits") >= DISCLOSURE_BITS)
+    return found.unionByName(disclosing).unionByName(named)
 
 
 def _terms_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -363,18 +594,21 @@ def _terms_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for uid, text in zip(batch["uid"], batch["text"]):
             rows += [(uid, "name", w) for w in {word for _, _, word, _ in name_words(text) if len(word) > 1}]
             rows += [(uid, "shape", s) for s in {shape(m.group()) for m in ID_SHAPED.finditer(text) if sum(c.isdigit() for c in m.group()) >= 4}]
+            rows += {(uid, "number" if kind == "number" else "form", form) for kind, _, _, form in forms(text)}
+            rows.append((uid, "form", "id"))
         yield pd.DataFrame(rows, columns=["uid", "kind", "term"])
 
 
 _SPANS = "uid string, text string, spans array<struct<start:int,end:int,label:string>>"
+ROLES = (("name", "names"), ("shape", "shapes"), ("possible", "possible"), ("form", "disclosing"), ("number", "numbers"))
 
 
 def _find_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = [name for _, name in ROLES] + ["cues"]
     for batch in batches:
         spans = []
-        for text, *terms in zip(batch["text"], batch["names"], batch["shapes"], batch["possible"]):
-            held = [frozenset(() if x is None else x) for x in terms]
-            spans.append([{"start": s, "end": e, "label": label} for s, e, label in find(text, *held)])
+        for text, *terms in zip(batch["text"], *(batch[c] for c in columns)):
+            spans.append([{"start": s, "end": e, "label": label} for s, e, label in find(text, *map(_frozen, terms))])
         yield pd.DataFrame({"uid": batch["uid"], "text": batch["text"], "spans": spans})
 
 
@@ -385,12 +619,11 @@ def once(records: DataFrame) -> DataFrame:
 
 def sanitise(records: DataFrame) -> DataFrame:
     """uid, text, spans of every record with a text."""
-    texts = cut(once(records))
-    terms = disclosure(texts)
-    held = texts.mapInPandas(_terms_of, "uid string, kind string, term string").join(terms, ["kind", "term"]).groupBy("uid").agg(
-        *[F.collect_list(F.when(F.col("role") == role, F.col("term"))).alias(name) for role, name in (("name", "names"), ("shape", "shapes"), ("possible", "possible"))]
-    )
-    return texts.join(held, "uid", "left").select("uid", "text", "names", "shapes", "possible").mapInPandas(_find_batches, _SPANS)
+    plain = cut(once(records))
+    texts = cut(with_cues(plain, cut(learn_cues(plain))))
+    terms = cut(disclosure(texts))
+    held = texts.mapInPandas(_terms_of, "uid string, kind string, term string").join(terms, ["kind", "term"]).groupBy("uid").agg(*[F.collect_list(F.when(F.col("role") == role, F.col("term"))).alias(name) for role, name in ROLES])
+    return texts.join(held, "uid", "left").select("uid", "text", *[name for _, name in ROLES], "cues").mapInPandas(_find_batches, _SPANS)
 
 
 def occurrences(records: DataFrame) -> DataFrame:
