@@ -305,17 +305,18 @@ def forms(text: str) -> Iterator[tuple[str, int, int, str]]:
         yield "number", m.start(), m.start() + len(value), shape(value)
 
 
-def term_counts(text: str, cues: frozenset[str] = frozenset()) -> Counter:
-    """(kind, term, context) counts of one text, for the corpus tables."""
+def term_counts(text: str, cues: frozenset[str] = frozenset(), proposed: list[tuple[str, int, int, str]] | None = None) -> Counter:
+    """(kind, term, context) counts of one text, for the corpus tables; ``proposed`` are its ``forms``, if they are known."""
     out: Counter = Counter()
-    for kind, start, _, form in forms(text):
+    proposed = list(forms(text)) if proposed is None else proposed
+    for kind, start, _, form in proposed:
         beside = _BESIDE["phone" if kind == "number" else kind].search(text[max(0, start - 60) : start]) is not None
         coded = kind in ("phone", "number") and _CODE_BEFORE.search(text[max(0, start - 40) : start])
         out["number" if kind == "number" else "form", form, "code" if coded else "entity" if beside else "none"] += 1
     for kind, pattern in _BESIDE.items():  # how often such a context stands anywhere
         out["base", kind, "entity"] += sum(1 for _ in pattern.finditer(text))
     out["base", "words", "none"] += text.count(" ") + 1
-    protected = [m.span() for m in EMAIL.finditer(text)]
+    protected = [(a, b) for kind, a, b, _ in proposed if kind == "email"]
     inside = lambda at: any(a <= at < b for a, b in protected)
     words = list(name_words(text))
     person, _ = introduced(text, words, inside, cues)
@@ -439,7 +440,7 @@ def _trim(text: str, start: int, end: int) -> tuple[int, int]:
 
 
 def find(
-    text: str | None, names: frozenset[str], shapes: frozenset[str], possible: frozenset[str] = frozenset(), disclosing: frozenset[str] = frozenset(), numbers: frozenset[str] = frozenset(), cues: frozenset[str] = frozenset()
+    text: str | None, names: frozenset[str], shapes: frozenset[str], possible: frozenset[str] = frozenset(), disclosing: frozenset[str] = frozenset(), numbers: frozenset[str] = frozenset(), cues: frozenset[str] = frozenset(), proposed: list[tuple[str, int, int, str]] | None = None
 ) -> list[tuple[int, int, str]]:
     """Spans and labels of one text, given the terms that disclose.
 
@@ -453,7 +454,7 @@ def find(
     for match in PLACEHOLDER.finditer(text):
         found.append((*match.span(), "", -1))
     found += [(s, e, label, 1) for s, e, label in _shaped(text, shapes, "id" in disclosing)]
-    for kind, start, end, form in forms(text):
+    for kind, start, end, form in forms(text) if proposed is None else proposed:
         if kind == "email" and form in disclosing:
             found.append((start, end, "EMAIL", 0))
         elif kind == "address" and form in disclosing:
@@ -530,8 +531,19 @@ def learn_cues(texts: DataFrame) -> DataFrame:
     return kept.join(own, "term", "left_anti")
 
 
+_PROPOSED = "array<struct<kind:string,start:int,end:int,form:string>>"
+
+
+def _packed(text: str) -> list[dict]:
+    return [{"kind": k, "start": s, "end": e, "form": f} for k, s, e, f in forms(text)]
+
+
+def _unpacked(proposed) -> list[tuple[str, int, int, str]]:
+    return [(p["kind"], p["start"], p["end"], p["form"]) for p in (() if proposed is None else proposed)]
+
+
 def with_cues(texts: DataFrame, cues: DataFrame) -> DataFrame:
-    """uid, text and the cues that each text holds.
+    """uid, text, the cues that each text holds and its proposed values, which every later pass uses.
 
     Up to ``SENT_CUES`` cues are sent to the workers; more are joined to the texts' contexts.
     """
@@ -542,32 +554,38 @@ def with_cues(texts: DataFrame, cues: DataFrame) -> DataFrame:
         def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 batch["cues"] = [sorted(held_contexts(text) & sent.value) for text in batch["text"]]
+                batch["proposed"] = [_packed(text) for text in batch["text"]]
                 yield batch
 
-        return texts.select("uid", "text").mapInPandas(look, "uid string, text string, cues array<string>")
+        return texts.select("uid", "text").mapInPandas(look, f"uid string, text string, cues array<string>, proposed {_PROPOSED}")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(uid, key) for uid, text in zip(batch["uid"], batch["text"]) for key in held_contexts(text)]
             yield pd.DataFrame(rows, columns=["uid", "term"])
 
+    def propose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch["proposed"] = [_packed(text) for text in batch["text"]]
+            yield batch
+
     held = texts.select("uid", "text").mapInPandas(scan, "uid string, term string").join(cues.select("term"), "term").groupBy("uid").agg(F.collect_set("term").alias("cues"))
-    return texts.select("uid", "text").join(held, "uid", "left")
+    return texts.select("uid", "text").join(held, "uid", "left").mapInPandas(propose, f"uid string, text string, cues array<string>, proposed {_PROPOSED}")
 
 
 def disclosure(texts: DataFrame) -> DataFrame:
     """role, kind, term, bits: terms that disclose more than the threshold, and words that may be names.
 
-    ``texts`` has text and cues.
+    ``texts`` has text, cues and proposed.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in _summed(lambda row: term_counts(row.text, _frozen(row.cues)))(batches):
+        for frame in _summed(lambda row: term_counts(row.text, _frozen(row.cues), _unpacked(row.proposed)))(batches):
             if len(frame):
                 frame.columns = ["kind", "term", "context", "n"]
                 yield frame
 
-    counted = texts.select("text", "cues").mapInPandas(scan, "kind string, term string, context string, n long")
+    counted = texts.select("text", "cues", "proposed").mapInPandas(scan, "kind string, term string, context string, n long")
     entity = F.sum(F.when(F.col("context").isin("person", "id", "entity"), F.col("n")).otherwise(0)).alias("entity")
     by_term = cut(counted.groupBy("kind", "term").agg(entity, F.sum("n").alias("n")))
     terms = by_term.where("kind IN ('name', 'shape')")
@@ -591,10 +609,10 @@ def disclosure(texts: DataFrame) -> DataFrame:
 def _terms_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for uid, text in zip(batch["uid"], batch["text"]):
+        for uid, text, proposed in zip(batch["uid"], batch["text"], batch["proposed"]):
             rows += [(uid, "name", w) for w in {word for _, _, word, _ in name_words(text) if len(word) > 1}]
             rows += [(uid, "shape", s) for s in {shape(m.group()) for m in ID_SHAPED.finditer(text) if sum(c.isdigit() for c in m.group()) >= 4}]
-            rows += {(uid, "number" if kind == "number" else "form", form) for kind, _, _, form in forms(text)}
+            rows += {(uid, "number" if kind == "number" else "form", form) for kind, _, _, form in _unpacked(proposed)}
             rows.append((uid, "form", "id"))
         yield pd.DataFrame(rows, columns=["uid", "kind", "term"])
 
@@ -607,8 +625,8 @@ def _find_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = [name for _, name in ROLES] + ["cues"]
     for batch in batches:
         spans = []
-        for text, *terms in zip(batch["text"], *(batch[c] for c in columns)):
-            spans.append([{"start": s, "end": e, "label": label} for s, e, label in find(text, *map(_frozen, terms))])
+        for text, proposed, *terms in zip(batch["text"], batch["proposed"], *(batch[c] for c in columns)):
+            spans.append([{"start": s, "end": e, "label": label} for s, e, label in find(text, *map(_frozen, terms), _unpacked(proposed))])
         yield pd.DataFrame({"uid": batch["uid"], "text": batch["text"], "spans": spans})
 
 
@@ -623,7 +641,7 @@ def sanitise(records: DataFrame) -> DataFrame:
     texts = cut(with_cues(plain, cut(learn_cues(plain))))
     terms = cut(disclosure(texts))
     held = texts.mapInPandas(_terms_of, "uid string, kind string, term string").join(terms, ["kind", "term"]).groupBy("uid").agg(*[F.collect_list(F.when(F.col("role") == role, F.col("term"))).alias(name) for role, name in ROLES])
-    return texts.join(held, "uid", "left").select("uid", "text", *[name for _, name in ROLES], "cues").mapInPandas(_find_batches, _SPANS)
+    return texts.join(held, "uid", "left").select("uid", "text", *[name for _, name in ROLES], "cues", "proposed").mapInPandas(_find_batches, _SPANS)
 
 
 def occurrences(records: DataFrame) -> DataFrame:
