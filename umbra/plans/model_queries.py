@@ -120,6 +120,11 @@ def petre_trace(spark, folder):
     return _trace(spark, folder, 5)
 
 
+def petre_first(spark, folder):
+    """The first word that a trace masks, and the rank after it."""
+    return _trace(spark, folder, 5).where("step = 1").select("doc_id", "word", F.col("rank").cast("long").alias("rank"))
+
+
 def petre_grid(spark, folder):
     grid = kanon.grid(_trace(spark, folder, 5), "doc_id", (2, 3, 5))
     return grid.select("doc_id", "k", "step", "rank", F.size("words").alias("n_masked"))
@@ -289,7 +294,7 @@ def batch_stream_equal(spark, folder):
     return pipelines.redacted(spark, folder).select("doc_id", F.md5("masked").alias("digest"), "n_spans")
 
 
-QUERIES = {f.__name__: f for f in (label_dictionary, label_mapping_check, label_parse, nb_scores, reid_ranks, rank_deltas, rank_delta_summary, reid_accuracy, individual_accuracy, reid_top_k, prob_max_merge, prob_mean_merge, score_average, greedy_explain, petre_trace, petre_grid, uniform_budget, weighted_budget, budget_compensation, dp_candidates, dp_draws, dp_token_budgets, dp_token_sample, dp_rewrite, gaussian_scale, tfidf_cosine, overlap_f1, divergence_summary, macro_divergence, utility_labels, reddit_targets, tab_targets, utility_perceptron, stratified_split, macro_f1, utility_drops, utility_regression, pii_prf, pii_matches, char_prf, batch_stream_equal)}
+QUERIES = {f.__name__: f for f in (label_dictionary, label_mapping_check, label_parse, nb_scores, reid_ranks, rank_deltas, rank_delta_summary, reid_accuracy, individual_accuracy, reid_top_k, prob_max_merge, prob_mean_merge, score_average, greedy_explain, petre_trace, petre_first, petre_grid, uniform_budget, weighted_budget, budget_compensation, dp_candidates, dp_draws, dp_token_budgets, dp_token_sample, dp_rewrite, gaussian_scale, tfidf_cosine, overlap_f1, divergence_summary, macro_divergence, utility_labels, reddit_targets, tab_targets, utility_perceptron, stratified_split, macro_f1, utility_drops, utility_regression, pii_prf, pii_matches, char_prf, batch_stream_equal)}
 
 _ID = "idn AS (SELECT doc_id, text, lower(trim(source, ' ')) AS name, category FROM documents WHERE text IS NOT NULL AND source IS NOT NULL)"
 _ORIGINAL = "ow AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS word FROM idn) GROUP BY doc_id, word)"
@@ -383,6 +388,25 @@ SQL = {
         tp AS (SELECT doc_id, word, max(m) AS m0 FROM mk GROUP BY doc_id, word),
         ch AS (SELECT mk.doc_id, mk.word, sum(CASE WHEN mk.label = zz.target THEN exp(mk.m - tp.m0) ELSE 0 END) / sum(exp(mk.m - tp.m0)) AS p, 1 / any_value(zz.z) AS p0 FROM mk JOIN tp USING (doc_id, word) JOIN zz USING (doc_id) GROUP BY mk.doc_id, mk.word)
         SELECT doc_id, count(*) AS n_words, round(max(round(p0 - p, 9)), 6) AS score FROM ch GROUP BY doc_id""",
+    "petre_first": f"""{_SCORED},
+        tk AS (SELECT doc_id, word, min(pos) AS first, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w FROM idn)) GROUP BY doc_id, word),
+        mk AS (SELECT tk.doc_id, tk.word, tk.first, s.label, s.score - tk.n * (lb.unseen + ln(coalesce(bl.c, 0) + 1.0)) AS m FROM tk JOIN s USING (doc_id) JOIN lb ON lb.label = s.label LEFT JOIN bl ON bl.label = s.label AND bl.word = tk.word
+               WHERE tk.word NOT IN ({", ".join(f"'{w}'" for w in IGNORED)})),
+        tp AS (SELECT doc_id, word, max(m) AS m0 FROM mk GROUP BY doc_id, word),
+        ch AS (SELECT mk.doc_id, mk.word, any_value(mk.first) AS first, sum(CASE WHEN mk.label = idn.name THEN exp(mk.m - tp.m0) ELSE 0 END) / sum(exp(mk.m - tp.m0)) AS p FROM mk JOIN tp USING (doc_id, word) JOIN idn USING (doc_id) GROUP BY mk.doc_id, mk.word),
+        pk AS (SELECT doc_id, list_reduce(list(struct_pack(p := p, word := word) ORDER BY first), lambda a, b: CASE WHEN a.p - b.p > 1e-12 THEN b ELSE a END).word AS word FROM ch JOIN s_rank USING (doc_id) WHERE rank < 5 GROUP BY doc_id),
+        ow1 AS (SELECT mk.doc_id, mk.label, mk.m, o.m AS own, idn.name FROM mk JOIN pk USING (doc_id, word) JOIN idn USING (doc_id) JOIN mk o ON o.doc_id = mk.doc_id AND o.word = mk.word AND o.label = idn.name)
+        SELECT doc_id, any_value(pk.word) AS word, sum((label <> name AND (m > own + 1e-9 OR abs(m - own) <= 1e-9 AND label > name))::INT)::BIGINT + 1 AS rank FROM ow1 JOIN pk USING (doc_id) GROUP BY doc_id""",
+    "dp_token_budgets": f"WITH {_ID}, {text_queries.FOUND}, " + r"""
+        t0 AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]') AS t, regexp_split_to_array(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]') AS g FROM idn),
+        t1 AS (SELECT doc_id, unnest(t) AS v, unnest(g[1:len(t)]) AS gap, unnest(range(len(t))) AS i FROM t0),
+        t2 AS (SELECT doc_id, v, sum(length(v) + length(gap)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM t1),
+        c AS (SELECT doc_id, length(v) AS n, EXISTS (SELECT 1 FROM o WHERE o.doc_id = t2.doc_id) AS held, EXISTS (SELECT 1 FROM o WHERE o.doc_id = t2.doc_id AND t2.stop > o.start AND t2.stop - length(t2.v) < o.start + length(o.v)) AS hit FROM t2 WHERE instr('!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', v) = 0),
+        k AS (SELECT doc_id, count(*) AS n_all, count(*) FILTER (hit OR NOT held) AS n_free, max(n) FILTER (hit OR NOT held) AS top FROM c GROUP BY doc_id),
+        w AS (SELECT c.doc_id, n_all, n_free, exp((n - top) / 4.0) AS e FROM c JOIN k USING (doc_id) WHERE hit OR NOT held),
+        z AS (SELECT doc_id, sum(e) AS z FROM w GROUP BY doc_id)
+        SELECT doc_id, count(*) AS n_free, round(min(10.0 * greatest(n_free / n_all::DOUBLE, 1e-6) / (e / z * n_free)), 6) AS least, round(max(10.0 * greatest(n_free / n_all::DOUBLE, 1e-6) / (e / z * n_free)), 4) AS greatest
+        FROM w JOIN z USING (doc_id) GROUP BY doc_id""",
     "dp_candidates": f"{_DP} SELECT \"left\", level, min(place) AS first, count(*) AS size FROM pl GROUP BY \"left\", level",
     "dp_draws": f"""{_DP}, gr AS (SELECT \"left\", level, min(place) AS first, count(*) AS size FROM pl GROUP BY \"left\", level),
         fr AS (SELECT doc_id, pos, CASE WHEN \"left\" IN (SELECT \"left\" FROM gr) THEN \"left\" ELSE '*' END AS \"left\", {_UNIFORM.format(7)} AS u, {_UNIFORM.format(8)} AS v FROM it WHERE instr('{_MARKS}', token) = 0),
