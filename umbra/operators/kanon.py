@@ -97,8 +97,10 @@ def trace(model: NaiveBayes, records: DataFrame, key: str, label: str, most: int
 
 def grid(traced: DataFrame, key: str, ks: tuple[int, ...]) -> DataFrame:
     """key, k, step, rank, words: for each k the first step whose rank reaches it, else the last one."""
-    each = traced.crossJoin(traced.sparkSession.createDataFrame([(k,) for k in ks], "k int"))
-    stop = F.coalesce(F.min(F.when(F.col("rank") >= F.col("k"), F.col("step"))), F.max("step"))
-    stops = each.groupBy(key, "k").agg(stop.alias("stop"))
-    held = each.join(stops, [key, "k"]).where(F.col("step") <= F.col("stop"))
-    return held.groupBy(key, "k").agg(F.max("step").alias("step"), F.max_by("rank", "step").alias("rank"), F.transform(F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("step", "word")))), lambda w: w["word"]).alias("words"))
+    # a record's trace is one short array, so every k is read off in the same pass
+    steps = traced.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("step", "rank", "word"))).alias("t"))
+    each = steps.select(key, "t", F.explode(F.array(*[F.lit(int(k)) for k in ks])).alias("k"))
+    reached = F.try_element_at(F.filter("t", lambda x: x["rank"] >= F.col("k")), F.lit(1))
+    stopped = each.select(key, "k", "t", F.coalesce(reached, F.element_at("t", -1)).alias("s"))
+    words = F.transform(F.filter("t", lambda x: (x["step"] <= F.col("s.step")) & x["word"].isNotNull()), lambda x: x["word"])
+    return stopped.select(key, "k", F.col("s.step").alias("step"), F.col("s.rank").alias("rank"), words.alias("words"))
