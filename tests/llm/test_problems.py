@@ -74,6 +74,8 @@ def test_mentions_spans_and_unusable_rows(spark):
     assert {tuple(r) for r in made.cases().select("uid", "start", "end", "label", "n_marked", "n_annotators").collect()} == {("u", 0, 4, "PERSON", 3, 3), ("v", 0, 2, None, 1, 1)}
     row = made.agreement().where("uid = 'u'").first()
     assert row["label_agreement"] == 1.0 and row["n_mentions"] == 2 and row["marking_agreement"] == round(4 / 6, 6)
+    mixed = marks(spark, [("u", "a", 0, 4, "PERSON"), ("u", "b", 0, 4, "ORG"), ("u", "a", 6, 9, "ORG"), ("u", "b", 6, 9, "ORG")])
+    assert consensus.Consensus(mixed, records, rounds=1).agreement().first()["label_agreement_corrected"] == round((0.5 - 10 / 16) / (1 - 10 / 16), 6)
     empty = consensus.Consensus(annotations.limit(0), records, rounds=1)
     assert empty.cases().count() == 0 and empty.agreement().count() == 0
 

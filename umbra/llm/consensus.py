@@ -315,13 +315,22 @@ class Consensus:
         return out.select("uid", "start", "end", F.when(F.col("label").isNotNull(), F.element_at(names, F.col("label") + 1)).alias("label"), F.round("chance", 6).alias("chance"), "n_marked", "n_annotators")
 
     def agreement(self) -> DataFrame:
-        """By record: share of annotator pairs that give a mention the same label, the same span, and of annotators that mark it."""
+        """By record: share of annotator pairs that give a mention the same label, the same span, and of annotators that mark it.
+
+        ``label_agreement_corrected`` takes off what the frequencies of the labels in the
+        whole table would give by chance: (observed - expected) / (1 - expected); null where
+        only one label occurs at all.
+        """
+        counted = self.mentions.select(F.explode("marks.label").alias("label")).groupBy("label").agg(F.count("*").alias("n"))  # one row for each label
+        chance = counted.agg((F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n"))).alias("expected"))
         votes = F.transform(F.array_distinct("marks.label"), lambda l: F.size(F.filter("marks", lambda m: m["label"] == l)))
         same = F.aggregate(votes, F.lit(0).cast("long"), lambda a, n: a + n * (n - 1))
         voted, marked = F.size("marks").cast("long"), F.col("n_marked").cast("long")
         sums = self.mentions.select("uid", "n_annotators", "n_marked", same.alias("same"), (voted * (voted - 1)).alias("pairs"), F.col("n_same_span").alias("same_span"), (marked * (marked - 1)).alias("span_pairs"))
         rate = lambda a, b: F.round(F.sum(a) / F.nullif(F.sum(b), F.lit(0)), 6)
-        return sums.groupBy("uid").agg(F.count("*").alias("n_mentions"), F.max("n_annotators").alias("n_annotators"), rate("same", "pairs").alias("label_agreement"), rate("same_span", "span_pairs").alias("span_agreement"), rate("n_marked", "n_annotators").alias("marking_agreement"))
+        found = sums.groupBy("uid").agg(F.count("*").alias("n_mentions"), F.max("n_annotators").alias("n_annotators"), rate("same", "pairs").alias("label_agreement"), rate("same_span", "span_pairs").alias("span_agreement"), rate("n_marked", "n_annotators").alias("marking_agreement"))
+        corrected = (F.col("label_agreement") - F.col("expected")) / F.nullif(1 - F.col("expected"), F.lit(0.0))
+        return found.crossJoin(F.broadcast(chance)).withColumn("label_agreement_corrected", F.round(corrected, 6)).drop("expected")
 
     def annotators(self) -> DataFrame:
         """By annotator: reliability, marks with a label, and the share of them equal to the consensus."""
