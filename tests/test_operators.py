@@ -480,3 +480,38 @@ def test_vector_mechanism_needs_its_plug_in(spark):
         methods.anonymise(rows, "dpbart", [10.0], generator=lambda p, t: p)
     with pytest.raises(ValueError):
         methods.anonymise(rows, "dpmlm", [10.0])
+
+
+def test_mean_of_written_numbers_in_any_order(spark):
+    from fractions import Fraction
+
+    rng = random.Random(3)
+    for _ in range(3):
+        values = [rng.randrange(1000) / 1000 for _ in range(16)]
+        values[0] = ((1000 - round(sum(values[1:]) * 1000)) % 16 + 1) / 1000  # the sum is 1/16 more than a multiple: a tie at the sixth place
+        mean = sum(Fraction(round(v * 1000), 1000) for v in values) / 16
+        assert (mean * 10**6).denominator == 2
+        found = set()
+        for _ in range(4):
+            rng.shuffle(values)
+            found |= {r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).agg(scoring.exact_mean("v")).collect()}
+        assert found == {float(mean)}
+    rows = spark.createDataFrame([(1, 0.995852), (1, 0.058849), (2, None), (3, float("inf")), (3, 1.0), (4, float("nan"))], "k int, v double")
+    by = {r["k"]: r["m"] for r in rows.groupBy("k").agg(scoring.rounded(scoring.exact_mean("v"), 6).alias("m")).collect()}
+    assert by[1] == 0.527351 and by[2] is None and by[3] == float("inf") and math.isnan(by[4])
+
+
+def test_score_average_gives_the_rows_of_its_sql_at_ties(spark, tmp_path):
+    import duckdb
+
+    from umbra.plans.queries import QUERIES, SQL
+
+    annotations = "ann_id long, uid string, annotator string, start int, `end` int, label string, text string, confidence double, made_at timestamp, received_at timestamp"
+    rows = [(n, "u", f"a{n}", 0, 1, "EMAIL", None, v, None, None) for n, v in enumerate((0.995852, 0.058849))]
+    spark.createDataFrame(rows, annotations).coalesce(1).write.parquet(f"{tmp_path}/text_annotation.parquet")
+    spark.createDataFrame([(1, "u", "s", "text", None)], "idx long, uid string, source string, text string, loaded_at timestamp").write.parquet(f"{tmp_path}/dataset_record.parquet")
+    connection = duckdb.connect()
+    for name in ("text_annotation", "dataset_record"):
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    expected = connection.execute(SQL["score_average"]).fetchall()
+    assert [tuple(r) for r in QUERIES["score_average"](spark, str(tmp_path)).collect()] == expected == [("u", 0.527351, 0.995852)]

@@ -278,6 +278,17 @@ def merge_mean(rows: DataFrame, key: str, label: str, value: str, chunk: str) ->
     return rows.groupBy(key, label).agg(F.sum(F.coalesce(value, F.lit(0.0))).alias("s")).join(chunks, key).select(key, label, F.round(F.col("s") / F.col("n_chunks"), 6).alias(value))
 
 
+def exact_mean(value: str) -> Column:
+    """The mean of numbers as they are written, summed as decimals so that it is the same in any order; the mean of the doubles where one is NaN, infinite or above 1e10."""
+    written = F.col(value).try_cast("decimal(28,18)")
+    return F.when(F.count(written) == F.count(value), F.avg(written).cast("double")).otherwise(F.avg(value))
+
+
+def rounded(number: Column, places: int) -> Column:
+    """Rounded by way of the scaled double, as SQL engines do; ``round`` goes by the shortest decimal form."""
+    return F.round(number * F.lit(10.0**places)) / F.lit(10.0**places)
+
+
 def top_k(found: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
     """Extension: share of records whose true label is among the best k, and the mean reciprocal rank."""
     return found.agg(*[F.round(F.avg((F.col("rank") <= k).cast("double")), 6).alias(f"top_{k}") for k in ks], F.round(F.avg(1 / F.col("rank")), 6).alias("mrr"))

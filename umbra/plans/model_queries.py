@@ -99,7 +99,7 @@ def prob_mean_merge(spark, folder):
 
 
 def score_average(spark, folder):
-    return _chances(spark, folder).groupBy("uid").agg(F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 6).alias("average"), F.coalesce(F.max("confidence"), F.lit(0.0)).alias("greatest"))
+    return _chances(spark, folder).groupBy("uid").agg(scoring.rounded(F.coalesce(scoring.exact_mean("confidence"), F.lit(0.0)), 6).alias("average"), F.coalesce(F.max("confidence"), F.lit(0.0)).alias("greatest"))
 
 
 def greedy_explain(spark, folder):
