@@ -584,3 +584,35 @@ def test_splitting_sql(spark, folder):
     for name in ("p4_found", "p4_rebuilt"):
         expected = set(connection.execute(SQL[name]).fetchall())
         assert {tuple(r) for r in QUERIES[name](spark, folder).collect()} == expected and expected
+
+
+def test_no_openings_that_meet_the_threshold_are_left_apart(spark, monkeypatch):
+    rng, made = random.Random(5), set()
+    cores = ["this is something that nobody in our office may ever discuss", "my cousin built a small boat out of bottles for the race", "ab", "abc", "\U0001d400\U0001d401 xyz"]
+    spare = "this that never office cousin built boat small large".split()
+    while len(made) < 300:
+        said = rng.choice(cores).split()
+        for _ in range(rng.randrange(4)):
+            said[rng.randrange(len(said))] = rng.choice(spare) + rng.choice(["", "s", "x"])
+        made.add(" ".join(said)[: rng.choice([3, 4, 5, 80, 80, 80, 80])].strip())
+    made = sorted(made)
+    root = list(range(len(made)))  # of all pairs, each looked at
+
+    def least(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a in range(len(made)):
+        for b in range(a):
+            if pairs.similarity(made[a], made[b]) >= pairs.SIMILARITY:
+                x, y = sorted((least(a), least(b)))
+                root[y] = x
+    expected = {n: least(n) for n in range(len(made))}
+    openings = spark.createDataFrame([(n, text, 1 + n % 7) for n, text in enumerate(made)], "id long, opening string, n_prompts long")
+    for shard in (40_000, 90):
+        monkeypatch.setattr(pairs, "SHARD", shard)
+        links = pairs.opening_links(openings).collect()
+        assert all(pairs.similarity(made[r["id"]], made[r["head"]]) >= pairs.SIMILARITY for r in links)
+        joined = pairs.components(spark.createDataFrame([tuple(r) for r in links], "id long, head long"), "id", "head").collect()
+        assert expected == {n: n for n in range(len(made))} | {r["node"]: r["component"] for r in joined}
