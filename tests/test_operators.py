@@ -515,3 +515,25 @@ def test_score_average_gives_the_rows_of_its_sql_at_ties(spark, tmp_path):
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
     expected = connection.execute(SQL["score_average"]).fetchall()
     assert [tuple(r) for r in QUERIES["score_average"](spark, str(tmp_path)).collect()] == expected == [("u", 0.527351, 0.995852)]
+
+
+def test_treebank_terms_of_a_batch_take_little_memory(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from umbra.functions import treebank
+
+    text = 'He said "no", they\'re gone (to Łódź); we can\'t stay. ' * 20
+    rows = spark.createDataFrame([(n, (None, "", text)[min(n, 2)]) for n in range(6)], "n int, text string")
+    sentences = rows.select("n", treebank.T.sentences(F.col("text")).alias("s")).orderBy("n").toArrow()["s"].combine_chunks()
+    batch = pa.concat_arrays([sentences] * 100)
+    tracemalloc.start()
+    found = treebank._terms.func(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * 400 * len(text)
+    assert found[0].as_py() is None and found[1].as_py() == []
+    assert {text[t["start"] : t["end"]] == t["text"] for t in found[602 - 6 + 2].as_py()} == {True}
+    shown = rows.select("n", treebank.terms(F.col("text")).alias("t")).orderBy("n").collect()
+    assert [r["t"] if r["t"] is None else [t.asDict() for t in r["t"]] for r in shown] == found[:6].to_pylist()
