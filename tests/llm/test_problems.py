@@ -616,3 +616,23 @@ def test_no_openings_that_meet_the_threshold_are_left_apart(spark, monkeypatch):
         assert all(pairs.similarity(made[r["id"]], made[r["head"]]) >= pairs.SIMILARITY for r in links)
         joined = pairs.components(spark.createDataFrame([tuple(r) for r in links], "id long, head long"), "id", "head").collect()
         assert expected == {n: n for n in range(len(made))} | {r["node"]: r["component"] for r in joined}
+
+
+def test_texts_are_not_sent_once_for_each_shard(spark, monkeypatch):
+    rng, made = random.Random(8), []
+    for n in range(60):
+        said = [f"w{rng.randrange(400)}" for _ in range(12)]
+        made.append((f"t{n}", "train", "s", " ".join(said), DAY))
+        if n % 2:
+            said[rng.randrange(12)] = "other"
+            made.append((f"e{n}", "test", "s", " ".join(said), DAY))
+    folded = overlap.folded_records(spark.createDataFrame(made, "uid string, split string, source string, text string, loaded_at timestamp"))
+    digest = {r["uid"]: r["digest"] for r in folded.collect()}
+    expected = {(digest[f"t{n}"], digest[f"e{n}"]) for n in range(1, 60, 2)}
+    for shard, block in ((1_500_000, 4_000_000), (60, 100)):
+        monkeypatch.setattr(overlap, "SHARD_WORDS", shard)
+        monkeypatch.setattr(overlap, "BLOCK_WORDS", block, raising=False)
+        found = overlap.class_pairs(folded)
+        assert {(r["train_digest"], r["eval_digest"]) for r in found.collect()} == expected
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Generate" not in plan  # what is spread over the shards lies on no disk
