@@ -229,6 +229,27 @@ def test_question_said_twice_and_languages_told_apart():
     assert pairs.clear_language("Der Hund ist im Garten und die Katze auch nicht.") == pairs.NAMES.index("de")
 
 
+def test_nothing_that_grows_with_the_pairs_is_broadcast(spark, monkeypatch):
+    plans, cut = [], pairs.cut
+
+    def ran(df, run):
+        done = run(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())  # as it was changed while it ran
+        return done
+
+    monkeypatch.setattr(pairs, "cut", lambda df: ran(df, cut))
+    rows = [(n, "I would rather not discuss this question with you" + " at all" * (n % 2) + ".", f"Question {n} about topic {n * 7}?", DAY) for n in range(6)]
+    made = spark.createDataFrame(rows, "post_id long, response string, question_asked string, loaded_at timestamp")
+    ran(pairs.defects(made), lambda df: df.collect())
+    assert len(plans) > 10 and any("Join" in p for p in plans)
+    assert [p for p in plans if "Broadcast" in p] == []
+
+
+def test_trigrams_of_several_texts_are_those_of_each():
+    said = ["Der Hund, ÄRGER!", "", "a", "12 ...", "no no", "İ Σς ß"]
+    assert pairs.trigrams(*said).tolist() == [slot for text in said for slot in pairs.trigrams(text).tolist()] and len(pairs.trigrams()) == 0
+
+
 def test_words_outside_the_lexicon_are_known(spark, monkeypatch):
     rows = []
     for n in range(30):
