@@ -140,6 +140,21 @@ def test_cues_are_learnt_and_name_the_unknown(spark):
     assert right >= 27  # names that no title ever introduced
 
 
+def test_cues_are_looked_up_and_no_text_without_name_terms_is_parsed(monkeypatch):
+    text = "Yesterday Anna Berg rang.\nThe parcel went to Lena de Vos, who lives near Bonn. dear Bob, reply to anna"
+    for shown in (text, text.lower(), "", "Anna"):
+        held, near = sanitise.held_contexts(shown), sanitise.Contexts(shown)
+        words = list(sanitise.name_words(shown))
+        for part in (held, set(sorted(held)[::2]), set(), {"<no such", ">went to here", "< x"}):
+            assert sanitise.Cues(part).held(shown) == held & part
+            told = ({near.at_start[s] for s, *_ in words if part & set(near.before(s))}, {near.at_end[e] for _, e, *_ in words if part & set(near.behind(e))})
+            places = near.cued(frozenset(part))
+            starts, ends = {near.at_start[s] for s, *_ in words}, {near.at_end[e] for _, e, *_ in words}
+            assert (places[0] & starts, places[2] & ends) == told
+    monkeypatch.setattr(sanitise, "Contexts", None)
+    assert sanitise.find("Write to a.b@c.example, Anna", frozenset(), frozenset(), disclosing=frozenset({"email"})) == [(9, 22, "EMAIL")]
+
+
 def test_telephone_numbers_of_any_country():
     for value in ("+91 98765 43210", "+81 3-1234-5678", "+55 11 91234 5678", "+420 601 123 456", "0044 20 7946 0123"):
         found = [(k, s, e) for k, s, e, _ in sanitise.forms(f"Please call {value}.") if k == "phone"]

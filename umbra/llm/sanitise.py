@@ -75,6 +75,11 @@ MAIL_WORDS = "e-?mail|mail|courriel|correo|write to|wrote|writes|send|sent|reply
 ADDRESS_WORDS = "address|lives?|lived|living|resid(?:es|ed|ing|ent)|deliver(?:ed|y)?|sent to|ship(?:ped)? to|moved to|flat|house|wohnt|wohnhaft|Anschrift|Adresse|zugestellt|ging an|geht an|habite|demeur(?:e|ant)|domicili[éo]|adresse|parti au|livré|vive|reside|dirección|enviado|entregado|paquete a"
 PHONE_WORDS = "tel|tél|teléfono|telephone|téléphone|Telefon|phone|number|ring|call|dial|reach|Rückruf|appel|llam|joindre|Rappelez|unter|Llamen al|llamar|mobile|fax|ext\\.?"
 
+def _first(alternatives: str) -> str:
+    """The letters with which the words of a pattern begin."""
+    return "".join(sorted({word[0].lower() for word in re.sub(r"\([^()]*\)\??", "", re.sub(r"\([^()]*\)\??", "", alternatives)).split("|")}))
+
+
 # ---------------------------------------------------------------- values by their form
 _AT = r"(?:\s?@\s?|\s?[\[({]\s?(?:at|AT|arroba|ät)\s?[\])}]\s?|\s(?:AT)\s)"
 _DOT = r"(?:\.|\s?[\[({]\s?(?:dot|DOT|punto|punkt|point)\s?[\])}]\s?|\s(?:DOT)\s)"
@@ -95,18 +100,20 @@ PHONE = re.compile(
     r")" + _EXTENSION + r"(?![\w@/]|[\-.]\d)"
 )
 _TOKEN_ID = r"(?=[A-Za-z0-9 .\-/]*\d[A-Za-z0-9 .\-/]*\d)[A-Za-z0-9]{1,16}(?:[ .\-/]{1}(?=[A-Za-z]{0,3}\d|[A-HJ-Za-z]\b)[A-Za-z0-9]{1,12}){0,9}"
-ID_AFTER = re.compile(rf"(?<![\w\-])(?:(?i:{ID_WORDS}))(?:\s+(?:is|was|lautet|est|es|número|n[°º.]+|no\.?|[Nn]r\.?|[Nn]um\.?))?(?:\s?[:=#]\s?|\s+)(?P<v>(?-i:{_TOKEN_ID}))")
+ID_AFTER = re.compile(rf"(?<![\w\-])(?i:(?=[{_first(ID_WORDS)}])(?:{ID_WORDS}))(?:\s+(?:is|was|lautet|est|es|número|n[°º.]+|no\.?|[Nn]r\.?|[Nn]um\.?))?(?:\s?[:=#]\s?|\s+)(?P<v>(?-i:{_TOKEN_ID}))")
 ID_BEFORE = re.compile(rf"(?<![\w\-])(?P<v>(?:{_TOKEN_ID}))(?=\s+(?:as|als|comme|como)\s+(?:the|die|der|das|den|le|la|el|his|her|their)\s+(?i:{ID_WORDS})\b)")
+_ID_BEHIND = re.compile(r"\s(?:as|als|comme|como)\s")  # what every value of ID_BEFORE has behind it
 ID_SHAPED = re.compile(r"(?<![\w@#/.\-+])(?=[A-Za-z0-9 .\-/]{5,24})(?:(?:[A-Z]{1,5}[\- ]?|[a-z]{1,5}\-?)?\d[A-Za-z0-9]*(?:[ .\-/][A-Za-z0-9]*\d[A-Za-z0-9]*|[ .\-/][A-HJ-Z]\b){0,9})(?![\w@/]|[\-.]\d)")
 _CODE_BEFORE = re.compile(rf"(?i:\b(?:{CODE_WORDS}))\W{{0,3}}(?:(?:no|number|nummer|num|n[°º])\.?\W{{0,2}})?$")
 _ID_BEFORE_SHAPE = re.compile(rf"(?:\b(?i:{ID_WORDS}))\W{{0,3}}$")
 _ID_AFTER_SHAPE = re.compile(rf"^\s+(?:as|als|comme|como)\s+\w+\s+(?i:{ID_WORDS})\b")
 
+
 _BESIDE = {
-    "email": re.compile(rf"(?i)\b(?:{MAIL_WORDS})\b"),
-    "address": re.compile(rf"(?i)\b(?:{ADDRESS_WORDS})\b"),
-    "phone": re.compile(rf"(?i)\b(?:{PHONE_WORDS})"),
-    "id": re.compile(rf"\b(?i:{ID_WORDS})\b"),
+    "email": re.compile(rf"(?i)\b(?=[{_first(MAIL_WORDS)}])(?:{MAIL_WORDS})\b"),
+    "address": re.compile(rf"(?i)\b(?=[{_first(ADDRESS_WORDS)}])(?:{ADDRESS_WORDS})\b"),
+    "phone": re.compile(rf"(?i)\b(?=[{_first(PHONE_WORDS)}])(?:{PHONE_WORDS})"),
+    "id": re.compile(rf"\b(?i:(?=[{_first(ID_WORDS)}])(?:{ID_WORDS}))\b"),
 }
 
 _TOWN = r"(?:(?!(?i:Flat|Apt|Tel|Tél|Mail|The|In|On|At|And|Bestellung|Commande|Pedido|Order)\b)[A-ZÀ-ÞŁŚŻ][\wß-ÿ’'\-]+)"
@@ -132,22 +139,28 @@ WORD = re.compile(rf"{_LETTERS}+(?:[-’']{_LETTERS}{{2,}})*")
 _RUN = rf"(?:{_LETTERS}\.\s|{_LETTERS}{{2,}}(?:[-]{_LETTERS}+)*,?\s){{0,4}}?{_LETTERS}{{2,}}(?:[-]{_LETTERS}+)*"
 _TITLE = "|".join(sorted(TITLES, key=len, reverse=True))
 BEFORE_NAME = re.compile(
-    rf"(?i:\b(?:{_TITLE})\.?\s|\bname\s?[=:]\s?|\bcontact:\s|\b(?:kind |best )?regards,\s|\batentamente, |\bcordialement, |\bgrü(?:ß|ss)en?,? |\bgrü(?:ß|ss)en?,?\n|\bsigned,? |\bdear |\bchère? |\bestimad[oa] )"
+    rf"(?i:\b(?=[abcdefghklmnprs])(?:\b(?:{_TITLE})\.?\s|\bname\s?[=:]\s?|\bcontact:\s|\b(?:kind |best )?regards,\s|\batentamente, |\bcordialement, |\bgrü(?:ß|ss)en?,? |\bgrü(?:ß|ss)en?,?\n|\bsigned,? |\bdear |\bchère? |\bestimad[oa] ))"
 )
 _AFTER_COMPANY = re.compile(r"^(?:\s?(?:&|and|und|et|y)\s[^\W\d_][\w\-’']+)?\s(?i:plc|ltd|limited|sa|gmbh|inc|llc|ag|kg|sarl|sl|bv|nv|llp|corp|city council|savings bank|coaches|power|council|bank|group)\b|^\s?&")
 _BEFORE_COMPANY = re.compile(r"&\s?$")
 _BEFORE_PLACE = re.compile(r"\b(?:[Ii]n|near|at|en|à|À|zu|nach|outside|to|from|around|bei|aus|cerca de|desde)\s$")
 
 
-_LEADING_TITLE = re.compile(rf"(?i:{_TITLE})\.?\s")
+_LEADING_TITLE = re.compile(rf"(?i:(?=[dfhlmps])(?:{_TITLE}))\.?\s")
 _TITLE_WORDS = frozenset(t.lower() for t in TITLES) | {"m"}
 
 
+_JOINED = re.compile(r"[-’']")
+
+
 def name_words(text: str) -> Iterator[tuple[int, int, str, bool]]:
     """start, end, word in small letters and whether it is written with a capital, hyphenated parts apart."""
     for match in WORD.finditer(text):
-        at = match.start()
-        for part in re.split(r"[-’']", match.group()):
+        at, whole = match.start(), match.group()
+        if whole.isalpha():  # no hyphen or apostrophe
+            yield at, match.end(), whole.lower(), whole[0].isupper()
+            continue
+        for part in _JOINED.split(whole):
             yield at, at + len(part), part.lower(), part[:1].isupper()
             at += len(part) + 1
 
@@ -164,11 +177,35 @@ class Contexts:
     """Tokens of a text, for the two and three before or behind a place."""
 
     def __init__(self, text: str):
-        self.tokens = [m.group().lower() for m in _NEAR.finditer(text)]
+        self.tokens = [t.lower() for t in _NEAR.findall(text)]
         found = [m.span() for m in _NEAR.finditer(text)]
         self.at_start = {a: n for n, (a, _) in enumerate(found)}
         self.at_end = {b: n for n, (_, b) in enumerate(found)}
 
+    def cued(self, cues: frozenset[str]) -> tuple[set[int], set[int], set[int]]:
+        """Places of tokens that stand behind a cue, behind one of three tokens, and before a cue."""
+        behind, behind_three, before = set(), set(), set()
+        tokens, last = self.tokens, len(self.tokens)
+        for cue in cues:
+            held = cue[1:].split(" ")
+            size, first, at = len(held), held[0], -1
+            if size not in (2, 3):
+                continue
+            while True:
+                try:
+                    at = tokens.index(first, at + 1)
+                except ValueError:
+                    break
+                if tokens[at : at + size] != held:
+                    continue
+                if cue[0] == "<" and at + size < last:
+                    behind.add(at + size)
+                    if size == 3:
+                        behind_three.add(at + size)
+                elif cue[0] == ">" and at:
+                    before.add(at - 1)
+        return behind, behind_three, before
+
     def before(self, start: int) -> list[str]:
         n = self.at_start.get(start)
         return [] if n is None else ["<" + " ".join(self.tokens[n - size : n]) for size in (2, 3) if n >= size]
@@ -219,6 +256,37 @@ def opens_sentence(text: str, start: int) -> bool:
     return re.search(r"(?:^|[.!?…\n])[ \t]*$", text[max(0, start - 4) : start]) is not None
 
 
+class Cues:
+    """Cues, with the tokens at their outer ends, which tell most contexts apart before they are built."""
+
+    def __init__(self, cues):
+        self.all = frozenset(cues)
+        sizes = {"<": {2: set(), 3: set()}, ">": {2: set(), 3: set()}}
+        for cue in self.all:
+            held = cue[1:].split(" ")
+            if len(held) in (2, 3):
+                sizes[cue[0]][len(held)].add(held[-1 if cue[0] == "<" else 0])
+        self.before, self.behind = sizes["<"], sizes[">"]
+
+    def held(self, text: str) -> set[str]:
+        """Those of ``held_contexts`` that are cues."""
+        near = Contexts(text)
+        tokens, all_cues = near.tokens, self.all
+        before = [(n, size, key) for size, ends in self.before.items() for n in range(size, len(tokens)) if tokens[n - 1] in ends and (key := "<" + " ".join(tokens[n - size : n])) in all_cues]
+        behind = [(n, key) for size, ends in self.behind.items() for n in range(len(tokens) - size) if tokens[n + 1] in ends and (key := ">" + " ".join(tokens[n + 1 : n + 1 + size])) in all_cues]
+        if not before and not behind:
+            return set()
+        words = list(name_words(text))
+        if is_small(text):
+            longer, places, last = set(), {near.at_start.get(start) for start, *_ in words}, {near.at_end.get(end) for _, end, *_ in words}
+        else:
+            runs = capital_runs(text, words)
+            longer = {near.at_start.get(start) for start, _, _, capital in words if not capital}
+            places = {near.at_start.get(words[at][0]) for first, final in runs for at in (first, first + 1 if final > first else first)}
+            last = {near.at_end.get(words[final][1]) for _, final in runs}
+        return {key for n, size, key in before if n in places or size == 3 and n in longer} | {key for n, key in behind if n in last}
+
+
 def held_contexts(text: str) -> set[str]:
     """Contexts in which a name of the text may stand."""
     words, near, small = list(name_words(text)), Contexts(text), is_small(text)
@@ -230,7 +298,7 @@ def held_contexts(text: str) -> set[str]:
     return longer | {key for start in places for key in near.before(start)} | {key for _, last in runs for key in near.behind(words[last][1])}
 
 
-def introduced(text: str, words: list[tuple[int, int, str, bool]], inside, cues: frozenset[str] = frozenset()) -> tuple[set[int], set[int]]:
+def introduced(text: str, words: list[tuple[int, int, str, bool]], inside, cues: frozenset[str] = frozenset(), near: Contexts | None = None) -> tuple[set[int], set[int]]:
     """Places in ``words`` that stand in a context which introduces a person, and those of the words that introduce one."""
     person: set[int] = set()
     starts = {start: index for index, (start, *_) in enumerate(words)}
@@ -270,20 +338,25 @@ def introduced(text: str, words: list[tuple[int, int, str, bool]], inside, cues:
         for index in sorted(begins):
             mark(index, 1)
     else:
-        near = Contexts(text)
-        asked = [index for index, (_, _, word, capital) in enumerate(words) if capital or small or word in PARTICLES]
-        # a word in small letters needs the longer context
-        cued = [index for index, (start, _, word, capital) in enumerate(words) if any(key in cues for key in (near.before(start) if capital or small else near.before(start)[1:]))]
-        begins.update(cued)
+        near = Contexts(text) if near is None else near
+        behind, behind_three, before = near.cued(cues)
+        at_start, at_end = near.at_start, near.at_end
+        if behind:  # a word in small letters needs the longer context
+            begins.update(index for index, (start, _, _, capital) in enumerate(words) if at_start.get(start) in (behind if capital or small else behind_three))
         for index in sorted(begins):
             mark(index, 1)
-        for index in asked:
-            if any(key in cues for key in near.behind(words[index][1])):
-                mark(index, -1)
+        if before:
+            for index, (_, end, word, capital) in enumerate(words):
+                if at_end.get(end) in before and (capital or small or word in PARTICLES):
+                    mark(index, -1)
     leading = {at - 1 for at in begins if at and words[at - 1][2] not in PARTICLES and len(words[at - 1][2]) > 1 and text[words[at - 1][1] : words[at][0]] in (" ", ", ", ": ", "\n")}
     return person - leading, leading
 
 
+def _nowhere(at: int) -> bool:
+    return False
+
+
 def phone_form(value: str) -> str:
     """What a telephone number begins with."""
     bare = value.lstrip("( ")
@@ -317,7 +390,7 @@ def term_counts(text: str, cues: frozenset[str] = frozenset(), proposed: list[tu
         out["base", kind, "entity"] += sum(1 for _ in pattern.finditer(text))
     out["base", "words", "none"] += text.count(" ") + 1
     protected = [(a, b) for kind, a, b, _ in proposed if kind == "email"]
-    inside = lambda at: any(a <= at < b for a, b in protected)
+    inside = (lambda at: any(a <= at < b for a, b in protected)) if protected else _nowhere
     words = list(name_words(text))
     person, _ = introduced(text, words, inside, cues)
     for index, (start, end, word, capital) in enumerate(words):
@@ -342,11 +415,13 @@ def shape(value: str) -> str:
 
 # ---------------------------------------------------------------- spans
 def _names(text: str, known: frozenset[str], possible: frozenset[str], taken: list[tuple[int, int, str]], cues: frozenset[str] = frozenset()) -> list[tuple[int, int, str]]:
+    if not known and not possible:
+        return []
     blocked = [(a, b) for a, b, _ in taken]
-    inside = lambda at: any(a <= at < b for a, b in blocked)
+    inside = (lambda at: any(a <= at < b for a, b in blocked)) if blocked else _nowhere
     words = list(name_words(text))
     small, near = is_small(text), Contexts(text)
-    person, leading = introduced(text, words, inside, cues)
+    person, leading = introduced(text, words, inside, cues, near)
     introduced_at, leads = {words[at][0] for at in person}, {words[at][0] for at in leading}
     here = {start for start, _, _, capital in words if start in introduced_at and (capital or small)} if possible else set()
     tokens = []  # start, end, kind: N name, I initial, P particle
@@ -409,16 +484,21 @@ def _names(text: str, known: frozenset[str], possible: frozenset[str], taken: li
     return out
 
 
+_DIGIT = re.compile(r"\d")
+
+
 def _shaped(text: str, disclosing: frozenset[str], named: bool = True) -> list[tuple[int, int, str]]:
     """Identity numbers: beside a naming word (if the corpus holds such at all), or of a shape that discloses."""
     out = []
+    if not _DIGIT.search(text):
+        return out
     if not named:
         return [(m.start(), m.end(), "ID_NUMBER") for m in ID_SHAPED.finditer(text) if shape(m.group()) in disclosing and not _CODE_BEFORE.search(text[max(0, m.start() - 40) : m.start()])]
     for match in ID_AFTER.finditer(text):
         start, end = _trim(text, *match.span("v"))
         if sum(c.isdigit() for c in text[start:end]) >= 4:
             out.append((start, end, "ID_NUMBER"))
-    for match in ID_BEFORE.finditer(text):
+    for match in ID_BEFORE.finditer(text) if _ID_BEHIND.search(text) else ():
         start, end = _trim(text, *match.span("v"))
         if sum(c.isdigit() for c in text[start:end]) >= 4:
             out.append((start, end, "ID_NUMBER"))
@@ -549,11 +629,12 @@ def with_cues(texts: DataFrame, cues: DataFrame) -> DataFrame:
     """
     few = [row["term"] for row in cues.select("term").limit(SENT_CUES + 1).collect()]
     if len(few) <= SENT_CUES:
-        sent = texts.sparkSession.sparkContext.broadcast(frozenset(few))
+        sent = texts.sparkSession.sparkContext.broadcast(few)
 
         def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            known = Cues(sent.value)
             for batch in batches:
-                batch["cues"] = [sorted(held_contexts(text) & sent.value) for text in batch["text"]]
+                batch["cues"] = [sorted(known.held(text)) for text in batch["text"]]
                 batch["proposed"] = [_packed(text) for text in batch["text"]]
                 yield batch
 
